@@ -97,7 +97,7 @@ def key_filter(keys: DataFrame, name: str) -> np.ndarray:
     """
     slot = F.shiftrightunsigned(F.col(name), 64 - FILTER_BITS)
     rows = (
-        keys.select(F.shiftright(slot, 5).cast("int").alias("i"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
+        keys.select(F.shiftright(slot, 5).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
         .groupBy("i")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
