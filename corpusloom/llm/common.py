@@ -81,6 +81,17 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns of ``docs`` and all others inside one struct, ``__row``, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("none")]).alias("__row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], needed: tuple[str, ...]) -> DataFrame:
+    """Back to ``columns``, in their order."""
+    return rows.select(*[F.col(c) if c in needed else F.col("__row").getField(c).alias(c) for c in columns])
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -89,26 +100,26 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 FILTER_BITS = 27
 
 
-def key_filter(keys: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of ``2^FILTER_BITS`` bits with the bit of every key (a long column) set, built by Spark.
+def key_filter(keys: DataFrame, name: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``2^bits`` bits with the bit of every key (a long column) set, built by Spark.
 
     Its size is fixed, so it may be broadcast at any scale. A clear bit proves that a key is absent; a set bit proves
     nothing, so what passes must still be joined exactly. More keys mean more rows in that join, never other results.
     """
-    slot = F.shiftrightunsigned(F.col(name), 64 - FILTER_BITS)
+    slot = F.shiftrightunsigned(F.col(name), 64 - bits)
     rows = (
         keys.select(F.shiftright(slot, 5).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
         .groupBy("i")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
     )
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[rows.column("i").to_numpy()] = rows.column("b").to_numpy().astype(np.uint64).astype(np.uint32)
-    return bits
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[rows.column("i").to_numpy()] = rows.column("b").to_numpy().astype(np.uint64).astype(np.uint32)
+    return out
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    slot = keys.view(np.uint64) >> np.uint64(64 - 5 - (len(bits).bit_length() - 1))
     return (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 

@@ -7,7 +7,7 @@ which is one aggregation over all sources at once. Documents enter as counts by
 source and size have one rate; a source with a third of all rows is thus no larger than its number of distinct sizes.
 
 Rates become whole copies in two steps: running totals over a source's sizes are rounded, longest first, so that errors
-cancel; then what is still missing or too much is settled with the longest size that fits, a few times. Inside a (source,
+cancel; then what is still missing or too much is settled, a few times, by the one size or pair of sizes that brings it nearest. Inside a (source,
 size) cell the documents with the least hashes take the odd copies.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import WORD_PATTERN, cut, keep, small_side, text_keys, text_or_empty
+from corpusloom.llm.common import WORD_PATTERN, boxed, cut, keep, small_side, text_keys, text_or_empty, unboxed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -111,17 +111,38 @@ def _copies(cells: DataFrame, tilts: DataFrame, most: int) -> DataFrame:
     c = c.withColumn("__up", F.floor(total + 0.5)).withColumn("k", F.col("__up") - F.coalesce(F.lag("__up").over(longest), F.lit(0)))
     c = keep(c.withColumn("k", F.greatest(F.lit(0), F.least("k", most * F.col("n")))).drop("__up", "lam", "mean", "full"), "cells")
     for _ in range(SETTLES):
-        left = c.groupBy("__key").agg((F.first("target") - F.sum(F.col("k") * F.col("__size"))).alias("left"))
-        room = F.when(F.col("left") > 0, most * F.col("n") - F.col("k")).otherwise(F.col("k"))
-        fits = c.join(small_side(left), "__key").where((F.col("__size") > 0) & (F.col("__size") <= F.abs("left"))).withColumn("__room", room).where("__room > 0")
-        move = F.least("__room", F.floor(F.abs("left") / F.col("__size"))) * F.signum("left").cast("long")
-        pick = cut(fits.withColumn("move", move).groupBy("__key").agg(F.max_by(F.struct("__size", "move"), "__size").alias("p")).select("__key", F.col("p.__size").alias("__size"), F.col("p.move").cast("long").alias("move")))
+        pick = cut(_moves(c, most))
         if pick.isEmpty():
             break
         c = c.join(small_side(pick), ["__key", "__size"], "left").withColumn("k", F.col("k") + F.coalesce("move", F.lit(0))).drop("move")
     return c
 
 
+def _moves(c: DataFrame, most: int) -> DataFrame:
+    """(__key, __size, move): for each source the change of copies that brings it nearest to its target, if any does.
+
+    Either one size gets or loses copies, or one size gets a copy and another loses one: the pair whose difference is
+    nearest to what is missing, found by sorting sizes that may get one among those that may lose one, shifted by what is
+    missing. Windows are over a source's distinct sizes.
+    """
+    left = c.groupBy("__key").agg((F.first("target") - F.sum(F.col("k") * F.col("__size"))).alias("left"))
+    own = c.where("__size > 0").join(small_side(left), "__key")
+    room = F.when(F.col("left") > 0, most * F.col("n") - F.col("k")).otherwise(F.col("k"))
+    times = F.least(room, F.greatest(F.lit(1), F.round(F.abs("left") / F.col("__size")).cast("long")))
+    single = own.where(room > 0).select("__key", "left", F.abs(F.abs("left") - times * F.col("__size")).alias("off"), F.array(F.struct("__size", (times * F.signum("left").cast("long")).alias("move"))).alias("moves"))
+    gets = own.where(F.col("k") < most * F.col("n")).select("__key", "left", "__size", F.col("__size").cast("double").alias("at"), F.lit(None).cast("long").alias("gone"))
+    gives = own.where("k > 0").select("__key", "left", "__size", (F.col("__size") + F.col("left")).alias("at"), F.col("__size").alias("gone"))
+    order = Window.partitionBy("__key").orderBy("at")
+    beside = [F.last("gone", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("gone", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))]
+    pairs = gets.unionByName(gives).withColumn("gone2", F.array(*beside)).where("gone is null")
+    pairs = pairs.withColumn("other", F.explode("gone2")).where("other is not null and other <> __size")
+    both = F.array(F.struct("__size", F.lit(1).cast("long").alias("move")), F.struct(F.col("other").alias("__size"), F.lit(-1).cast("long").alias("move")))
+    double = pairs.select("__key", "left", F.abs(F.col("left") - (F.col("__size") - F.col("other"))).alias("off"), both.alias("moves"))
+    better = single.unionByName(double).where(F.col("off") < F.abs("left") - 1e-9)
+    best = better.groupBy("__key").agg(F.min(F.struct("off", "moves")).alias("b"))
+    return best.select("__key", F.explode("b.moves").alias("m")).select("__key", F.col("m.__size").alias("__size"), F.col("m.move").alias("move"))
+
+
 def _odd_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """``cells`` with (each, top, edge): copies of every document, and the hashes that take one more.
 
@@ -142,7 +163,7 @@ def _odd_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): rows are (doc_id, __key, __size, __hash) of every document; cells say what each takes."""
-    rows = keep(_keyed(docs).select("doc_id", "__key", "__size", "__hash"), "sizes")
+    rows = keep(_keyed(docs.select("doc_id", "source", "text")).select("doc_id", "__key", "__size", "__hash"), "sizes")
     cells = keep(rows.groupBy("__key", "__size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     tilts = solve(cells, targets(cells, weights, share, most), most)
     return rows, keep(_odd_copies(rows, _copies(cells, tilts, most)), "copies")
@@ -170,8 +191,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Documents without a word are left out.
     """
     _, cells = plan(docs, weights, share, most)
-    out = _with_copies(_keyed(docs), cells.select("__key", "__size", "each", "top", "edge"))
-    return out.where("__copies > 0 and __size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    needed = ("doc_id", "source", "text")
+    out = _with_copies(_keyed(boxed(docs, *needed)), cells.select("__key", "__size", "each", "top", "edge"))
+    out = out.where("__copies > 0 and __size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return unboxed(out, docs.columns, needed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

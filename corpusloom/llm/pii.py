@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, column, keep, small_side, text_keys
+from corpusloom.llm.common import arrow_map, boxed, column, keep, small_side, text_keys, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -168,7 +168,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     k1, k2 = text_keys()
     added = added_spans(docs).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("added").alias("__added"))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2}).join(small_side(added), ["__k1", "__k2"], "left").select(*docs.columns, "__added")
+    keyed = boxed(docs, "text").withColumns({"__k1": k1, "__k2": k2}).join(small_side(added), ["__k1", "__k2"], "left").select("text", "__row", "__added")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,7 +179,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return step
 
-    out = arrow_map(keyed, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    out = unboxed(arrow_map(keyed, make, f"text string, __row {keyed.schema['__row'].dataType.simpleString()}"), docs.columns, ("text",))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -248,8 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DecisionLis
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with ``__stats``, ``__base_failed``, ``__rule`` (the rule that rejects, else null) and ``__kept``."""
-    out = with_statistics(docs).withColumns({"__base_failed": base_failed(), "__rule": rules.rule()})
+    """``docs`` with ``__stats``, ``__base_failed``, ``__rule`` (the rule that rejects, else null) and ``__kept``.
+
+    Columns of these names are replaced. A null, empty or blank text has no words and fails the base rules; equal rows fare
+    alike; an empty table gives an empty table.
+    """
+    out = with_statistics(docs.drop("__stats", "__base_failed", "__rule", "__kept")).withColumns({"__base_failed": base_failed(), "__rule": rules.rule()})
     return out.withColumn("__kept", ~F.col("__base_failed") & F.col("__rule").isNull())
 
 

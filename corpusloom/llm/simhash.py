@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, column, keep, sorted_runs, text_keys, utf8
+from corpusloom.llm.common import arrow_map, boxed, column, keep, sorted_runs, text_keys, unboxed, utf8
 from corpusloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -161,7 +161,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "k2")).alias("b"))
     chosen = best.select("b.doc_id", "b.k1", "b.k2").distinct()
     k1, k2 = text_keys()
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    keyed = boxed(docs, "doc_id", "text").withColumns({"__k1": k1, "__k2": k2})
     kept = keyed.join(
         chosen.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__a"), F.col("k2").alias("__b")),
         F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b")),
@@ -170,7 +170,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     many = classes.join(chosen, ["k1", "k2"], "left_semi").groupBy("doc_id", "k1", "k2").count().where("count > 1")
     if not many.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__k1", "__k2"])
-    return kept.drop("__k1", "__k2")
+    return unboxed(kept, docs.columns, ("doc_id", "text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

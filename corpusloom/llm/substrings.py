@@ -6,11 +6,15 @@ edges that come in several texts matter, and they are found without shuffling ev
 1. Each window has an anchor, the least hash among its sub-windows of ``M`` words. Equal windows have equal anchors, and
    neighbouring windows mostly share theirs, so about one row in five windows is shuffled. Anchors that occur in two
    different texts are marked in a bitmap of fixed size.
-2. Windows whose anchor is marked become edges (128-bit hash, document, position). What the bitmap lets through in vain
-   finds no partner here. Each edge's source is its first occurrence, by document and position.
-3. Occurrences join their edge's source. Consecutive occurrences whose sources are consecutive too form one
-   nonbranching path and compact into one span; both coordinates of every window on it verify it.
-4. Spans of a text remove its words. Exact copies of a text are settled by their doc_ids alone.
+2. Windows whose anchor is marked become edges. Those of one occurrence of an anchor travel as one row and are grouped by
+   anchor, so equal edges meet; they agree in two independent hashes, the anchor's and the window's. What the bitmap
+   lets through in vain finds no partner. Each edge's source is its first occurrence, by document and position.
+   Anchors with ``HOT`` occurrences or more take another way: sources by an aggregation that starts in each task, then
+   a join that Spark may split, so that no task gets all occurrences of one passage.
+3. Occurrences whose positions and sources' positions are both consecutive form one nonbranching path and compact into
+   one span; the coordinates at either end of every window on it verify it.
+4. Spans of a text remove its words. Exact copies of a text are settled by their doc_ids alone; a second bitmap of fixed
+   size keeps all but the first of them out of the steps above.
 
 A null doc_id counts as greater than every other.
 """
@@ -32,9 +36,11 @@ from corpusloom.llm.common import column, keep, key_filter, may_hold, text_keys,
 K = 13
 M = 5
 LAST = (1 << 63) - 1
+#: Occurrences of an anchor from which its sources are found by partial aggregation.
+HOT = 4096
 #: Words hashed at once, and words whose hash is remembered.
 CHUNK = 300_000
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,21 +84,27 @@ def _word_hash(seed: int) -> Callable[[bytes], int]:
     return Hashes().__getitem__
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts with ``K`` words or more, some at a time: rows, start of each in the chunk, words' hashes, windows that lie in one text."""
+def _chunks(batches: Iterator[pa.RecordBatch], names: list[str], firsts: np.ndarray) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts with ``K`` words or more, some at a time: rows, start of each in the chunk, words' hashes, windows that lie in one text.
+
+    Rows whose ``key`` isn't in the bitmap ``firsts`` surely are a copy of a text with a smaller doc_id, and are left out.
+    """
     find = _word_hash(1)
     rows, parts, total = [], [], 0
-    for batch in batches:
-        for text, *row in zip(*(column(batch, n).to_pylist() for n in ("text", *names)), strict=True):
-            words = words_of(text)
-            if len(words) < K:
-                continue
-            rows.append(tuple(row))
-            parts.append(np.fromiter(map(find, words), np.uint64, len(words)))
-            total += len(words)
-            if total >= CHUNK:
-                yield _chunk(rows, parts)
-                rows, parts, total = [], [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            batch = batch.filter(pa.array(may_hold(firsts, column(batch, "key").to_numpy())))
+            for text, *row in zip(*(column(batch, n).to_pylist() for n in ("text", *names)), strict=True):
+                words = words_of(text)
+                if len(words) < K:
+                    continue
+                rows.append(tuple(row))
+                parts.append(np.fromiter(map(find, words), np.uint64, len(words)))
+                total += len(words)
+                if total >= CHUNK:
+                    yield _chunk(rows, parts)
+                    rows, parts, total = [], [], 0
     if rows:
         yield _chunk(rows, parts)
 
@@ -111,40 +123,75 @@ def _anchors(h: np.ndarray, own: np.ndarray, known: dict[int, np.ndarray]) -> np
     return _least(windows(h, M, known), K - M + 1)[own]
 
 
-def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(anchor) of the anchors in two or more different texts. ``texts``: (text, k1)."""
+def repeated_anchors(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
+    """(anchor, n) of the anchors in two or more different texts. ``texts``: (text, k1, key)."""
+    shared = texts.sparkSession.sparkContext.broadcast(firsts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, h, own in _chunks(batches, ["k1"]):
+        for rows, starts, h, own in _chunks(batches, ["k1"], shared.value):
             anchors = _anchors(h, own, {1: h})
             text = np.searchsorted(starts, own, side="right") - 1
-            new = np.ones(len(own), bool)
-            new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])
+            new = _starts_of_runs(anchors, text)
             keys = np.array([r[0] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), pa.array(keys[text[new]])], ["anchor", "k1"])
 
     rows = texts.mapInArrow(run, "anchor long, k1 long")
-    return rows.groupBy("anchor").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("anchor")
+    return rows.groupBy("anchor").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("anchor", "n")
+
+
+def _starts_of_runs(anchors: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    new = np.ones(len(anchors), bool)
+    new[1:] = anchors[1:] != anchors[:-1]
+    for x in others:
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
-def edges(texts: DataFrame) -> DataFrame:
-    """(h, g, doc, k1, pos) of the windows whose anchor may come in several texts. ``texts``: (text, doc, k1)."""
-    bits = key_filter(repeated_anchors(texts.select("text", "k1")), "anchor")
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+def edges(texts: DataFrame, firsts: np.ndarray, marked: np.ndarray, hot: np.ndarray, of_hot: bool) -> DataFrame:
+    """(anchor, doc, k1, pos, hs): windows from ``pos`` on with one anchor and their hashes. ``texts``: (text, doc, k1, key).
+
+    ``marked`` and ``hot``: bitmaps of the anchors that may come in several texts, and in very many.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((marked, hot, firsts))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, h, own in _chunks(batches, ["doc", "k1"]):
+        for rows, starts, h, own in _chunks(batches, ["doc", "k1"], shared.value[2]):
             known = {1: h}
-            own = own[may_hold(shared.value, _anchors(h, own, known))]
+            anchors = _anchors(h, own, known)
+            take = may_hold(shared.value[0], anchors) & (may_hold(shared.value[1], anchors) == of_hot)
+            own, anchors = own[take], anchors[take]
             if not len(own):
                 continue
             text = np.searchsorted(starts, own, side="right") - 1
+            new = _starts_of_runs(anchors, text, own - np.arange(len(own)))  # one anchor, one text, no gap
+            at = np.flatnonzero(new)
+            hashes = pa.ListArray.from_arrays(pa.array(np.append(at, len(own)).astype(np.int32)), pa.array(windows(h, K, known)[own].view(np.int64)))
             doc, k1 = np.array(rows, np.int64).T
-            twin = windows(_mix(h + np.uint64(0x632BE59BD9B4E019)), K)[own]
-            cols = [windows(h, K, known)[own].view(np.int64), twin.view(np.int64), doc[text], k1[text], (own - starts[text]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "g", "doc", "k1", "pos"])
+            cols = [pa.array(anchors[at].view(np.int64)), pa.array(doc[text[at]]), pa.array(k1[text[at]]), pa.array((own - starts[text])[at].astype(np.int32)), hashes]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "doc", "k1", "pos", "hs"])
+
+    return texts.mapInArrow(run, "anchor long, doc long, k1 long, pos int, hs array<long>")
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    return rows.select("anchor", "doc", "k1", "pos", F.posexplode("hs").alias("i", "h")).select("anchor", "h", "doc", "k1", (F.col("pos") + F.col("i")).alias("pos"))
+
 
-    return texts.mapInArrow(run, "h long, g long, doc long, k1 long, pos int")
+def _hits(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
+    """(k1, pos, source_doc, source_pos) of the windows that also start in a smaller document."""
+    anchors = keep(repeated_anchors(texts, firsts), "anchors")
+    many = anchors.where(F.col("n") >= HOT)
+    marked, hot = key_filter(anchors, "anchor"), key_filter(many, "anchor", 20)
+    dealt = _each(edges(texts, firsts, marked, hot, False).repartition("anchor"))
+    first = Window.partitionBy("anchor", "h").orderBy("doc", "pos")  # already together by anchor
+    hits = dealt.withColumns({"source_doc": F.first("doc").over(first), "source_pos": F.first("pos").over(first)}).where("doc > source_doc")
+    hits = hits.select("k1", "pos", "source_doc", "source_pos")
+    if hot.any():
+        own = _each(edges(texts, firsts, marked, hot, True))
+        source = own.groupBy("anchor", "h").agg(F.min(F.struct("doc", "pos")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
+        found = own.join(source.select("anchor", "h", F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos")), ["anchor", "h"])
+        hits = hits.unionByName(found.where("doc > source_doc").select("k1", "pos", "source_doc", "source_pos"))
+    return hits
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -156,11 +203,10 @@ def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each is one path with one run of sources.
     """
-    found = keep(edges(_keyed(docs).drop("k2")), "edges")
-    source = found.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
-    source = source.select("h", "g", F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos"))
+    key = F.xxhash64("k1", "k2", "doc").alias("key")
+    firsts = key_filter(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")).select(key), "key")
+    hits = _hits(_keyed(docs).select("text", "doc", "k1", key), firsts)
     own = rows.groupBy("k1").agg(F.min("doc").alias("first"))  # a text stands for its copy with the smallest doc_id
-    hits = found.join(source, ["h", "g"]).where("doc > source_doc").select("k1", "pos", "source_doc", "source_pos")
     hits = hits.join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", (F.col("source_pos") - F.col("pos")).alias("shift")).distinct()
     run = F.col("pos") - F.row_number().over(Window.partitionBy("k1", "source_doc", "shift").orderBy("pos"))
     paths = hits.withColumn("run", run).groupBy("k1", "source_doc", "shift", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, column
+from corpusloom.llm.common import arrow_map, boxed, column, unboxed
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 15
@@ -38,8 +39,10 @@ NEUTRAL = 40
 #: Pull of every used embedding towards zero.
 DECAY = 1e-4
 THRESHOLD = 0.3
+#: One blank text, labelled 0, is added to the sample for so many of its rows: a text that says nothing is not toxic.
+BLANKS = 20
 #: Words whose part is remembered in a task.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 def subwords(word: str) -> list[int]:
@@ -72,17 +75,15 @@ class Model:
     part: np.ndarray  # of each bucket in the difference of the two logits
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.part[subwords(word)].mean())
-
     def scorer(self):
-        known: dict[str, float] = {}
+        part = self.part.tolist()
 
         class Parts(dict):
             def __missing__(parts, word: str) -> float:
                 if len(parts) >= REMEMBER:
                     parts.clear()
-                value = parts[word] = self.word(word)
+                own = subwords(word)
+                value = parts[word] = sum([part[b] for b in own]) / len(own)
                 return value
 
         known = Parts()
@@ -95,6 +96,17 @@ class Model:
         return score
 
 
+def _buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and their weights in its average."""
+    total: dict[int, float] = {}
+    for word, v in weighted(WORD.findall(text.lower())).items():
+        own = subwords(word)
+        v *= GAIN / len(own)
+        for b in own:
+            total[b] = total.get(b, 0.0) + v
+    return np.fromiter(total, np.int32, len(total)), np.fromiter(total.values(), np.float32, len(total))
+
+
 def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit on a sample; ``base_rate`` is the share of class 1 in the labelled rows it stands for.
 
@@ -104,22 +116,9 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = EP
     prior = float(np.log(max(base_rate, 1e-4) / max(1 - base_rate, 1e-4)))
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS), prior)
-    grams: dict[str, np.ndarray] = {}
-    rows = []
-    for text in texts:
-        words = WORD.findall(text.lower())
-        total = np.zeros(0, np.int64), np.zeros(0)
-        if words:
-            for w in set(words):
-                if w not in grams:
-                    grams[w] = np.array(subwords(w), np.int64)
-            bag = weighted(words)
-            ids = np.concatenate([grams[w] for w in bag])
-            weights = np.concatenate([np.full(len(grams[w]), GAIN * v / len(grams[w])) for w, v in bag.items()])
-            dense = np.bincount(ids, weights, BUCKETS)
-            at = np.flatnonzero(dense)
-            total = at, dense[at]
-        rows.append(total)
+    blank = len(texts) // BLANKS
+    rows = [_buckets(text) for text in texts] + [_buckets("")] * blank
+    y = np.append(y, np.zeros(blank, int))
     rng = np.random.default_rng(seed)
     embed, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     seen_e, seen_l, seen_b = np.full((BUCKETS, 1), 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
@@ -147,7 +146,7 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = EP
             embed[used] -= rate * d_embed / np.sqrt(seen_e[used])
             layer -= 0.3 * rate * d_layer / np.sqrt(seen_l)
             bias -= rate * d_bias / np.sqrt(seen_b)
-    share = y.mean()
+    share = y[: len(texts)].mean()
     shift = prior - float(np.log(share / (1 - share)))  # from the sample's share of class 1 to the base rate
     return Model((embed @ (layer[:, 1] - layer[:, 0])) * GAIN, float(bias[1] - bias[0]) + shift)
 
@@ -161,13 +160,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     n0, n1 = own.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     picks = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(2 * per_class).select("text", "toxic").toArrow()
-    return train([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist(), n1 / max(1, n0 + n1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(2 * per_class)
+    base_rate = n1 / max(1, n0 + n1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += [t or "" for t in column(batch, "text").to_pylist()]
+            toxic += column(batch, "toxic").to_pylist()
+        model = train(texts, toxic, base_rate)
+        yield pa.RecordBatch.from_arrays([pa.array([model.part.tolist()], pa.list_(pa.float64())), pa.array([float(model.bias)])], ["part", "bias"])
+
+    found = rows.select("text", "toxic").coalesce(1).mapInArrow(run, "part array<double>, bias double").toArrow()  # the bounded sample trains in one task
+    if not found.num_rows:
+        return train([], [], base_rate)
+    return Model(found.column("part").combine_chunks().flatten().to_numpy(), found.column("bias")[0].as_py())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (text; other columns are kept) with ``__score``: 0 to 1, also for null, empty or wordless texts."""
+    """``docs`` (text; other columns are kept) with ``__score``: 0 to 1, also for null, empty or wordless texts.
+
+    A column of that name is replaced; equal texts score alike; an empty table gives an empty table.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("__score")
     shared = spark.sparkContext.broadcast((model.part.astype(np.float32), model.bias))  # BUCKETS floats
 
     def make():
@@ -185,7 +201,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` scored under ``threshold``, with all their columns; repeated rows fare alike."""
-    return score(docs, fit(docs, labels)).where(F.col("__score") < threshold).drop("__score")
+    model = fit(docs, labels)
+    return unboxed(score(boxed(docs, "text"), model).where(F.col("__score") < threshold), docs.columns, ("text",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
