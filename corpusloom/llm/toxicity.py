@@ -32,12 +32,12 @@ DIM = 8
 PER_CLASS = 2000
 EPOCHS = 12
 #: Text vectors are means over hundreds of words; this gain brings them to the layer's range.
-GAIN = 100.0
+GAIN = 200.0
 #: Of a word's count in its text, and words without a say in every average.
 DAMP = 0.5
-NEUTRAL = 40
+NEUTRAL = 80
 #: Pull of every used embedding towards zero.
-DECAY = 1e-4
+DECAY = 1e-5
 THRESHOLD = 0.3
 #: One blank text, labelled 0, is added to the sample for so many of its rows: a text that says nothing is not toxic.
 BLANKS = 20
