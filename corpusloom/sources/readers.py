@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.schema import SENTENCE, SPECIALS
 
 
-@F.pandas_udf("struct<content: binary, error: string>")
+@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
 def _gunzip(contents: pd.Series) -> pd.DataFrame:
     out = []
     for c in contents:
