@@ -30,11 +30,23 @@ def sample_books(sentences: DataFrame, ratio: float, seed: int = 42, book: str =
 
 
 def sample_per_group(rows: DataFrame, groups: tuple[str, ...], keys: tuple[str, ...], ratio: float, seed: int = 42) -> DataFrame:
-    """Exactly max(1, floor(n * ratio)) rows of every group, those with the least tickets."""
-    t = rows.withColumn("__ticket", ticket(*keys, seed=seed))
-    w = Window.partitionBy(*groups)
-    ranked = t.withColumns({"__n": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy("__ticket", *keys))})
-    return ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * ratio))).drop("__ticket", "__n", "__r")
+    """Exactly max(1, floor(n * ratio)) rows of every group, those with the least tickets.
+
+    Groups may be very uneven: tickets are counted by their first two digits, which shows in which of the 256 parts of a
+    group the sample ends. Parts before it are taken whole and only that part is ranked, so no task sees a whole group.
+    """
+    t = rows.withColumn("__ticket", ticket(*keys, seed=seed)).withColumn("__part", F.left("__ticket", F.lit(2)))
+    parts = t.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    whole = Window.partitionBy(*groups)  # 256 rows a group at most
+    upto = F.sum("__m").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.greatest(F.lit(1), F.floor(F.sum("__m").over(whole) * ratio))
+    need = parts.withColumns({"__need": size - upto + F.col("__m")}).where("__need > 0").select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), "__m", "__need")
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    near = t.join(need, same)
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(*groups, "__part").orderBy("__ticket", *keys)))
+    return ranked.where("__m <= __need or __r <= __need").select(*rows.columns)
 
 
 def split(book: Column, train_percent: int = 95) -> Column:
