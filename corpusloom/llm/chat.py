@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, pre_tokenizers, processors
 
-from corpusloom.llm.common import column
+from corpusloom.llm.common import column, small_batches
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 TRAINED_ROLE = "assistant"
@@ -139,6 +139,7 @@ def blocks(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[Bloc
 
 
 def _by_conversation(conversations: DataFrame) -> DataFrame:
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -208,4 +209,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return digests(table.unionByName(added))
+    return digests(table.unionByName(added)).drop("n_tokens", "n_loss_tokens")
+
+
+SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS a, coalesce(text, '') AS b FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(a || chr(10) || b || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+coalesce(sum(length(b)) FILTER (a = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(b, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (a = 'assistant'), '')) AS loss_sha256,
+sum(8 + 8 + 7 + length(regexp_replace(a, '<(!*)\|', '<!\1|', 'g')) + length(regexp_replace(b, '<(!*)\|', '<!\1|', 'g')))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""

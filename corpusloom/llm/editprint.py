@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, column, cut, keep, sorted_runs, text_keys, text_or_empty
+from corpusloom.llm.common import arrow_map, column, cut, keep, small_batches, sorted_runs, text_keys, text_or_empty
 from corpusloom.llm.components import connected_components
 
 SAMPLES = 128
@@ -219,6 +219,7 @@ def against_next(docs: DataFrame) -> DataFrame:
     Rows are dealt into ranges of ids once; each range also gets the first row of the next range, so a range is walked
     alone. A table of one row is its own next; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     total, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not n:

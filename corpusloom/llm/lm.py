@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import column, keep, text_keys, utf8
+from corpusloom.llm.common import column, keep, small_batches, text_keys, utf8
 
 HEAD, SUFFIXES, CLASSES = 1000, 500, 48
 SUFFIX_BYTES = 3
@@ -31,7 +31,7 @@ KNOWN = 50_000
 SWEEPS = 5
 BETA = 5.0
 #: Entries after which a task hands on its counts, and words whose item it remembers.
-FLUSH = 250_000
+FLUSH = 150_000
 END, FIRST = 0, 1
 
 
@@ -190,6 +190,7 @@ class Model:
 
 def fit(docs: DataFrame, head: int = HEAD, suffixes: int = SUFFIXES, classes: int = CLASSES, known: int = KNOWN) -> tuple[Model, DataFrame]:
     """The model of ``docs`` (doc_id, text) outside the held-out fold, and the kept table of its word counts."""
+    small_batches(docs.sparkSession)
     texts = docs.where(~held_out()).select("text")
     counts = keep(word_counts(texts), "word-counts")
     ends = texts.count()

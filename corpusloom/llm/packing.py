@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import column
+from corpusloom.llm.common import column, small_batches
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -134,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     A null or empty text is the end id alone; a null doc_id stays null; equal rows are packed as often as they come. An
     empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     schema = SCHEMA + (", input_ids array<int>" if with_ids else "")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import column, keep, key_filter, may_hold, text_keys, words_of
+from corpusloom.llm.common import column, keep, key_filter, may_hold, small_batches, text_keys, words_of
 
 K = 13
 M = 5
@@ -39,8 +39,8 @@ LAST = (1 << 63) - 1
 #: Occurrences of an anchor from which its sources are found by partial aggregation.
 HOT = 4096
 #: Words hashed at once, and words whose hash is remembered.
-CHUNK = 300_000
-REMEMBER = 150_000
+CHUNK = 200_000
+REMEMBER = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,6 +195,7 @@ def _hits(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", *text_keys())
 
 
@@ -204,7 +205,7 @@ def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each is one path with one run of sources.
     """
     key = F.xxhash64("k1", "k2", "doc").alias("key")
-    firsts = key_filter(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")).select(key), "key")
+    firsts = key_filter(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")).select(key), "key", 24)
     hits = _hits(_keyed(docs).select("text", "doc", "k1", key), firsts)
     own = rows.groupBy("k1").agg(F.min("doc").alias("first"))  # a text stands for its copy with the smallest doc_id
     hits = hits.join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", (F.col("source_pos") - F.col("pos")).alias("shift")).distinct()
@@ -289,3 +290,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     removed = F.when(F.col("state") == "copy", F.col("n_words")).when(F.col("state") == "cut", F.col("gone")).otherwise(F.lit(0))
     digest = F.when(F.col("state") == "copy", F.sha2(F.lit(""), 256)).when(F.col("state") == "cut", F.col("kept_sha256")).otherwise(F.col("whole_sha256"))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), digest.alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM i),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT g.doc_id, g.i FROM g JOIN f USING (g) WHERE f.first < g.doc_id), (SELECT unnest(range(13)) AS j)),
+x AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d) ANTI JOIN c USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
