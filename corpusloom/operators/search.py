@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 from corpusloom.functions.arrays import let
+from corpusloom.regexes import WORD as WORD_PATTERN
 
 K1, B = 1.2, 0.75
 
@@ -110,8 +111,8 @@ def embedder(model_factory, dims: int):
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token, tf, size): one row for each word of a document."""
-    words = X.words(F.col(text))
-    rows = docs.select(key, F.size(words).alias("size"), F.explode(words).alias("token"))
+    own = docs.select(key, X.words(F.col(text)).alias("__w"))
+    rows = own.select(key, F.size("__w").alias("size"), F.explode("__w").alias("token"))
     return rows.groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -121,10 +122,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text
     Only query words are counted: the words of the queries filter the documents' words before anything is shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.words(F.col("query")))).alias("token"))
-    words = X.words(F.col(text))
-    sizes = docs.select(key, F.size(words).alias("size"))
-    shape = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
-    hits = docs.select(key, F.size(words).alias("size"), F.explode(words).alias("token")).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+    own = docs.select(key, X.words(F.col(text)).alias("__w"))
+    shape = docs.select(X.count(F.lower(F.col(text)), WORD_PATTERN).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
+    hits = own.select(key, F.size("__w").alias("size"), F.explode("__w").alias("token")).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
     tf = hits.groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     j = tf.join(df, "token").join(asked, "token").crossJoin(F.broadcast(shape))  # shape is one row
