@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom import regexes as R
+from corpusloom.functions.arrays import let
 
 
 def replace(text: Column, pattern: str, by: str = "") -> Column:
@@ -52,7 +53,11 @@ def normalize(text: Column) -> Column:
 
 
 def join_hyphenated(text: Column) -> Column:
-    return replace(text, R.HYPHEN_BREAK, "$1$2")
+    return F.when(matches(text, R.HYPHEN_HINT), replace(text, R.HYPHEN_BREAK, "$1$2")).otherwise(text)
+
+
+def blank_metadata_lines(text: Column) -> Column:
+    return F.when(matches(text, R.METADATA_HINT), replace(text, R.METADATA_LINE)).otherwise(text)
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -76,9 +81,7 @@ def is_garbage_line(line: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Ten steps against scanning artefacts, in order."""
-    t = replace(text, R.CONTROL)
-    t = join_hyphenated(t)
-    t = replace(t, R.METADATA_LINE)
+    t = let(let(replace(text, R.CONTROL), join_hyphenated), blank_metadata_lines)
     t = replace(t, R.NUMBER_LINE)
     t = replace(t, R.CONTENTS_NUMBER, "$1")
     t = F.array_join(F.filter(F.split(t, "\n", -1), lambda s: ~(is_table_line(s) | is_bibliographic_line(s) | is_garbage_line(s))), "\n")
@@ -177,7 +180,7 @@ def is_list_item(text: Column) -> Column:
 
 
 def garbage_flags(text: Column) -> dict[str, Column]:
-    return {name: matches(text, p) for name, p in R.GARBAGE.items()}
+    return {name: F.contains(text, F.lit(R.GARBAGE_HINTS[name])) & matches(text, p) for name, p in R.GARBAGE.items()}
 
 
 def rolling_hash(text: Column, modulus: int = 100) -> Column:

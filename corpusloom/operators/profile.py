@@ -16,9 +16,24 @@ PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 EDGES = (0, 20, 50, 100, 200, 500, 1000, 2000, 5000)
 
 
-def metric_flags(text: Column, unit: str = "bytes") -> dict[str, Column]:
-    """The quality counters of a profile, by name. Sizes and ratios are per byte by default."""
-    n, digits, puncts, upper = X.size(text, unit), X.digit_ratio(text, unit), X.punct_ratio(text, unit), X.uppercase_ratio(text)
+def measured(sentences: DataFrame, unit: str = "bytes") -> DataFrame:
+    """``sentences`` with their measures as columns, so that each is computed once a row however many counters use it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sentences.withColumns(
+        {
+            "text": text,
+            "__n": X.size(text, unit),
+            "__digits": X.digit_ratio(text, unit),
+            "__puncts": X.punct_ratio(text, unit),
+            "__upper": X.uppercase_ratio(text),
+            "__lang": X.language_class(text),
+        }
+    )
+
+
+def metric_flags() -> dict[str, Column]:
+    """The quality counters of a profile, by name, over ``measured`` rows."""
+    text, n, digits, puncts, upper = (F.col(c) for c in ("text", "__n", "__digits", "__puncts", "__upper"))
     flags = {
         "short_20": n < 20,
         "short_50": n < 50,
@@ -38,15 +53,13 @@ def metric_flags(text: Column, unit: str = "bytes") -> dict[str, Column]:
 
 def profile(sentences: DataFrame, unit: str = "bytes") -> DataFrame:
     """One row: totals, language counts and all quality counters, in one pass."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    there = text != ""
-    lang = X.language_class(text)
-    return sentences.agg(
+    there, lang = F.col("text") != "", F.col("__lang")
+    return measured(sentences, unit).agg(
         F.count_if(there).alias("total_sentences"),
         F.count_if(~there).alias("empty_sentences"),
-        F.coalesce(F.sum(X.size(text, unit)), F.lit(0)).cast("long").alias("total_chars"),
+        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total_chars"),
         *[F.count_if(there & (lang == k)).alias(k) for k in ("russian", "english", "mixed", "other")],
-        *[F.count_if(there & c).alias(k) for k, c in metric_flags(text, unit).items()],
+        *[F.count_if(there & c).alias(k) for k, c in metric_flags().items()],
     )
 
 
@@ -109,11 +122,10 @@ def edge_histogram(sentences: DataFrame, edges: tuple[int, ...] = EDGES, unit: s
 
 def file_profile(sentences: DataFrame, file: str = "book_id", unit: str = "bytes") -> DataFrame:
     """Per file: sentences and six ratios; garbage_ratio sums five flags and may exceed 1."""
-    text = F.col("text")
-    lang, flags = X.language_class(text), metric_flags(text, unit)
+    lang, flags = F.col("__lang"), metric_flags()
     garbage = sum((flags[f"has_{k}"].cast("int") for k in ("isbn", "udk", "bbk", "url", "email")), F.lit(0))
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    return sentences.where("text <> ''").groupBy(file).agg(
+    return measured(sentences.where("text <> ''"), unit).groupBy(file).agg(
         F.count(F.lit(1)).alias("sentences"),
         *[share(lang == k).alias(f"{k}_ratio") for k in ("russian", "english", "mixed")],
         share(flags["digit_30"]).alias("digit_30_ratio"),

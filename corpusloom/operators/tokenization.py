@@ -38,14 +38,17 @@ def vocab_from_lines(lines: DataFrame) -> DataFrame:
     return lines.where(X.utrim(F.col("value")) != "").select(X.utrim(F.col("value")).alias("token"), (F.row_number().over(Window.orderBy("line_no")) - 1).cast("int").alias("id"))
 
 
-def checked_vocab(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab) if vocab.limit(BROADCAST_VOCAB + 1).count() <= BROADCAST_VOCAB else vocab
+def checked_vocab(vocab: DataFrame, most: int | None = None) -> DataFrame:
+    """``vocab`` for broadcast if it is small: ``most`` is a bound known from how it was made; without one it is counted."""
+    small = most <= BROADCAST_VOCAB if most is not None else vocab.limit(BROADCAST_VOCAB + 1).count() <= BROADCAST_VOCAB
+    return F.broadcast(vocab) if small else vocab
 
 
-def encode_fields(rows: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and ids: words between white space looked up in the vocabulary, [UNK] for others. No word: an empty array."""
+def encode_fields(rows: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", most: int | None = None) -> DataFrame:
+    """``keys`` and ids: words between white space looked up in the vocabulary (of ``most`` entries, if that is known), [UNK]
+    for others. No word: an empty array."""
     words = rows.select(*keys, F.posexplode_outer(X.fields(F.col(text))).alias("__pos", "token"))
-    found = words.join(checked_vocab(vocab), "token", "left").withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(SPECIALS["[UNK]"]))))
+    found = words.join(checked_vocab(vocab, most), "token", "left").withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(SPECIALS["[UNK]"]))))
     pairs = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("__pos", "id"))))
     return found.groupBy(*keys).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
 

@@ -25,7 +25,7 @@ def vocab(spark, d) -> DataFrame:
 
 
 def encoded(spark, d) -> DataFrame:
-    return tokenization.encode_fields(turns(spark, d), vocab(spark, d), ["book_id", "position"])
+    return tokenization.encode_fields(turns(spark, d), vocab(spark, d), ["book_id", "position"], most=VOCAB + 5)
 
 
 _V = f"""v AS (SELECT unnest(['[PAD]','[UNK]','[CLS]','[SEP]','[MASK]']) AS token, unnest([0,1,2,3,4]) AS id UNION ALL

@@ -78,6 +78,9 @@ CJK_THAI_RANGES = (
     (0x3000, 0x303F), (0x31C0, 0x31EF), (0x3200, 0x32FF), (0x3300, 0x33FF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0x0E00, 0x0E7F),
 )
 CJK_THAI = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_THAI_RANGES) + "]"
+#: A string that every match of a garbage pattern holds: looked for first, for it is found much faster.
+GARBAGE_HINTS = {"isbn": "ISBN", "udk": "УДК", "bbk": "ББК", "url": "http", "email": "@"}
+METADATA_HINT, HYPHEN_HINT = r"ISBN|УДК|ББК|ISSN|DOI", r"-\s*\n"
 GARBAGE = {"isbn": ISBN, "udk": UDK, "bbk": BBK, "url": URL, "email": EMAIL}
 SCRIPTS = {"cyrillic": CYRILLIC, "latin": LATIN}
 SENTENCE_END = r"([.!?])[\t\n\f\r ]+"
