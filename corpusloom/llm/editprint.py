@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_map, column, cut, keep, small_batches, sorted_runs, text_keys, text_or_empty
@@ -39,6 +39,8 @@ BANDS, ROWS = 16, 6
 SIMILARITY = 0.8
 #: Bytes of text, about, in one range of ids.
 RANGE_BYTES = 24 << 20
+#: Ranges at most; beyond, they grow instead. A range is sorted with spilling and streamed, so its size doesn't bind memory.
+MAX_RANGES = 2000
 
 
 def _tables() -> list[bytes]:
@@ -224,13 +226,10 @@ def against_next(docs: DataFrame) -> DataFrame:
     total, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not n:
         return docs.sparkSession.createDataFrame([], NEIGHBOURS)
-    parts = max(1, -(-total // RANGE_BYTES))
-    ids = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0] if parts > 1 else None
+    parts = min(MAX_RANGES, max(1, -(-total // RANGE_BYTES)))
+    ids = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * MAX_RANGES)).first()[0] if parts > 1 else None
     bounds = sorted(set(ids or []))
-    place = F.lit(0)
-    for b in bounds:  # the number of bounds at or under the id; null ids are last
-        place += (F.col("doc_id") >= b).cast("int")
-    place = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(place) if bounds else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(_range_of(F.col("doc_id"), bounds, 0))
     placed = rows.withColumn("part", place.cast("int"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text")
     firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("f"))
@@ -240,12 +239,18 @@ def against_next(docs: DataFrame) -> DataFrame:
     head = heads.groupBy("part").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.text").alias("text"), "part")
     follow = head.select("doc_id", "text", F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")).alias("part"), F.lit(True).alias("extra"))
     dealt = placed.withColumn("extra", F.lit(False)).unionByName(follow)
-    slots = F.create_map(*[F.lit(x) for i, (p, _) in enumerate(filled) for x in (p, i)])
-    dealt = dealt.withColumn("slot", F.element_at(slots, F.col("part")))
-    dealt = dealt.repartitionById(len(filled), F.col("slot")).sortWithinPartitions("part", "extra", F.col("doc_id").isNull(), "doc_id", "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").isNull(), "doc_id", "text")
     return dealt.mapInArrow(_walk_ranges, NEIGHBOURS)
 
 
+def _range_of(x: Column, bounds: list[int], first: int) -> Column:
+    """The number of bounds at or under x, by binary search."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(x < bounds[middle], _range_of(x, bounds[:middle], first)).otherwise(_range_of(x, bounds[middle + 1 :], first + middle + 1))
+
+
 def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e = Embedder()
     out: list[tuple] = []
