@@ -95,15 +95,15 @@ class Block:
     def loss_text(self) -> str:
         """The text under the loss mask, unescaped turn by turn, read back from offsets and mask."""
         out = []
-        for start, end in bodies(self.rendered):
+        for start, end in bodies(self.rendered).tolist():
             lo, hi = np.searchsorted(self.tokens[:, 0], [start, end])
-            inside = [(a, b) for (a, b), m in zip(self.tokens[lo:hi].tolist(), self.mask[lo:hi].tolist(), strict=True) if m]
-            text, at = [], start
-            for a, b in inside:  # a character of several tokens has the same span in each
-                if b > at:
-                    text.append(self.rendered[max(a, at) : b])
-                    at = b
-            out.append(unescape("".join(text)))
+            inside = self.tokens[lo:hi][self.mask[lo:hi]]
+            if not len(inside):
+                continue
+            reach = np.maximum.accumulate(inside[:, 1])  # a character of several tokens has the same span in each
+            gaps = np.flatnonzero(inside[1:, 0] > reach[:-1])
+            parts = zip([inside[0, 0], *inside[gaps + 1, 0]], [*reach[gaps], reach[-1]], strict=True)
+            out.append(unescape("".join(self.rendered[x:y] for x, y in parts)))
         return "".join(out)
 
 
