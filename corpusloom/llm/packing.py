@@ -45,16 +45,20 @@ SCHEMA = (
 def byte_level_encoder(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a ``tokenizers`` file, run by tiktoken: the same ids several times as fast.
 
-    The file's vocabulary lists the 256 bytes and then the merges in order of priority, so an entry's id is its rank;
-    its special tokens are left out, and their strings in a text are ordinary text.
+    The file's vocabulary lists the 256 bytes and then the merges in order of priority, so an entry's id is its rank.
+    Its added tokens cut a text before anything else and are one id each, as ``tokenizers`` has it; those that match
+    otherwise than by their plain string, or of which one begins with another, are refused.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    odd = any(t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and spec["normalizer"]) for t in spec["added_tokens"])
+    if odd or any(a != b and a.startswith(b) for a in special for b in special):
+        raise ValueError(f"added tokens of {path} are not plain strings")
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Pool:
@@ -146,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         for batch in batches:
             for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                 ids.append(doc)
-                arrays.append(np.array([*encoder.encode_ordinary(text or ""), END_ID], np.uint32))
+                arrays.append(np.array([*encoder.encode(text or "", allowed_special="all"), END_ID], np.uint32))
                 total += len(arrays[-1])
                 if total >= pool_tokens:
                     yield _packed(ids, arrays, state, first)

@@ -318,6 +318,23 @@ def test_packing(spark, tiny, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_takes_added_tokens_from_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}  y\n", f"<{end}>", "<|endoftext|", f"don't{end}'t", f"Éa{end}🙂 <|endof text|>", " a "]
+    rows = packing.pack(frame(spark, [(i, x, "s") for i, x in enumerate(texts)]), with_ids=True).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) == len(got)
+    for i, x in enumerate(texts):
+        want = [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert got[i]["input_ids"] == want and got[i]["doc_tokens"] == len(want), x
+        assert got[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    assert got[0]["input_ids"] == [64, 220, 50256, 275, 1]
+
+
 def test_step_groups_are_equally_large(spark, tiny):
     rows = packing.pack(docs_of(spark, tiny), step_tokens=8192).where("offset = 0").groupBy("step_group").sum("padded_tokens").collect()
     sizes = [r[1] for r in rows]
