@@ -1,31 +1,33 @@
 """PII by patterns and information-theoretic sanitisation.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then tells which terms
-near an entity reveal it. For an entity e and a term t of its context (``CONTEXT`` words to either side) over N distinct
-texts with entities, disclosure is PMI(e; t) / IC(e) = log2(N c(e, t) / (c(e) c(t))) / log2(N / c(e)): 1 means that the
-term gives the entity away, 0 that it tells nothing. Terms seen with the entity in ``SUPPORT`` distinct texts or more
-are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, where they stand near that entity. Exact copies of
-a text are one text, so that copying makes no evidence. A text without any entity is left as it is.
+reveal them. With N distinct texts, c(e) of them with an entity e, c(t) with a term t and c(e, t) with both, wherever
+they stand, disclosure is PMI(e; t) / IC(e) = log2(N c(e, t) / (c(e) c(t))) / log2(N / c(e)): 1 means that the term gives
+the entity away, 0 that it tells nothing. All counts are over all texts, those without entities too. Terms seen with the
+entity in ``SUPPORT`` distinct texts or more are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
+everywhere in the texts that hold that entity. Exact copies of a text are one text, so that copying makes no evidence. A
+text without any entity is left as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, boxed, column, keep, small_side, text_keys, unboxed
+from corpusloom.llm.common import arrow_map, boxed, column, keep, small_batches, small_side, text_keys, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-CONTEXT = 5
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
-#: Characters to either side in which a context's words are sought.
-REACH = 200
+#: Counts of terms that a task holds before it hands them on.
+HELD = 1 << 17
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -81,26 +83,23 @@ def entity(text: str, span: Span) -> str:
     return f"{KINDS[kind]}:{_NOT_DIGIT.sub('', value) if kind > 1 else value.lower()}"
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for each of the ``CONTEXT`` words to either side of each span that no span touches."""
-    out = []
-    for span in spans:
-        start, _, end = span
-        name = entity(text, span)
-        lo = max(0, start - REACH)
-        before = [m for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0][-CONTEXT:]
-        after = []
-        for m in _TERM.finditer(text, end, min(len(text), end + REACH)):
-            if m.end() < end + REACH:
-                after.append(m)
-            if len(after) == CONTEXT:
-                break
-        for m in before + after:
-            if not any(a < m.end() and m.start() < b for a, _, b in spans):
-                out.append((name, m[0].lower(), m.start(), m.end()))
+def terms(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of three letters or more that no span touches."""
+    out, i, reach = [], 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
+def distinct_terms(text: str) -> set[str]:
+    spans = base_spans(text)
+    return {t for t, _, _ in terms(text, spans)} if spans else {t.lower() for t in set(_TERM.findall(text))}
+
+
 BASE = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base string"
 
 
@@ -119,45 +118,112 @@ def detect(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys()), make, BASE)
 
 
-def context_terms(docs: DataFrame) -> DataFrame:
-    """(k1, k2, entity, term, start, end) of every distinct text with an entity."""
+def text_counts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, copies) of every distinct text; kept."""
+    return keep(docs.select(*text_keys()).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), "text-copies")
+
+
+def term_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, ct): in how many distinct texts of ``docs`` each term stands. ``counts``: ``text_counts``.
+
+    Every one of a text's m copies counts as 1 / m, and the sum is rounded: so texts need not be shuffled to be told apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text, copies in zip(column(batch, "text").to_pylist(), column(batch, "copies").to_pylist(), strict=True):
+                own = distinct_terms(text)
+                held.update(own if copies == 1 else ((t, copies) for t in own))
+                if len(held) > HELD:
+                    yield rows(held)
+                    held.clear()
+        if held:
+            yield rows(held)
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        keys = [k if isinstance(k, tuple) else (k, 1) for k in held]
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([n / k[1] for k, n in zip(keys, held.values(), strict=True)])], ["term", "n"])
+
+    small_batches(docs.sparkSession)
+    texts = docs.where("text is not null").select("text", *text_keys()).join(small_side(counts.where("copies > 1")), ["k1", "k2"], "left")
+    found = texts.select("text", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(run, "term string, n double")
+    return found.groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("ct"))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, entity): the distinct entities of every distinct text."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            keys = zip(*(column(batch, n).to_pylist() for n in ("k1", "k2", "text")), strict=True)
+            rows = [(k1, k2, e) for k1, k2, text in keys for e in {entity(text, s) for s in base_spans(text)}]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["k1", "k2", "entity"]) if rows else None
+
+        return step
+
+    return arrow_map(docs.select("text", *text_keys()).where(F.col("text").rlike("[0-9@]")), make, "k1 long, k2 long, entity string").distinct()
+
+
+def text_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, k2, top, term, at: array of (start, end)) for every row of ``docs`` whose text is among ``texts`` (k1, k2, top)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows = []
-            for k1, k2, text in zip(*(column(batch, n).to_pylist() for n in ("k1", "k2", "text")), strict=True):
-                if spans := base_spans(text):
-                    rows += [(k1, k2, *c) for c in contexts(text, spans)]
+            for k1, k2, top, text in zip(*(column(batch, n).to_pylist() for n in ("k1", "k2", "top", "text")), strict=True):
+                at: dict[str, list[dict]] = {}
+                for term, start, end in terms(text, base_spans(text)):
+                    at.setdefault(term, []).append({"start": start, "end": end})
+                rows += [(k1, k2, top, term, places) for term, places in at.items()]
             if not rows:
                 return None
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "entity", "term", "start", "end"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "top", "term", "at"])
 
         return step
 
-    texts = docs.select("text", *text_keys()).where(F.col("text").rlike("[0-9@]"))
-    return arrow_map(texts, make, "k1 long, k2 long, entity string, term string, start int, end int").distinct()
+    own = docs.select("text", *text_keys()).where(F.col("text").rlike("[0-9@]")).join(small_side(texts), ["k1", "k2"])
+    return arrow_map(own.select("k1", "k2", "top", "text"), make, "k1 long, k2 long, top long, term string, at array<struct<start int, end int>>")
+
+
+def pairs(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, int]:
+    """(k1, k2, entity, ce, term, ct, at) of the entities and terms that share a distinct text, kept, and N.
+
+    Left out are only pairs that can't be disclosed: those with c(e) or c(t) under ``support``, and, for c(e, t) is at
+    most c(e), those with log2(N / c(t)) / IC(e) under ``generalise``.
+    """
+    counts = text_counts(docs)
+    n = counts.count()
+    entities = keep(entity_texts(docs), "entity-texts")
+    often = keep(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where((F.col("ce") >= support) & (F.col("ce") < n)), "entities")
+    known = keep(entities.join(small_side(often), "entity"), "known-entities")
+    texts = keep(known.groupBy("k1", "k2").agg(F.max("ce").alias("top")), "known-texts")
+
+    def can(ce: str) -> Column:
+        return F.log2(n / F.col("ct")) >= generalise * F.log2(n / F.col(ce)) - 1e-9
+
+    rare = keep(term_counts(docs, counts).where(F.col("ct") >= support), "term-counts")
+    rare = rare.join(F.broadcast(texts.agg(F.max("top").alias("top"))), can("top")).select("term", "ct")  # one row: the largest c(e)
+    own = text_terms(docs, texts).join(small_side(rare), "term").where(can("top")).drop("top").distinct()
+    return keep(own.join(small_side(known), ["k1", "k2"]).where(can("ce")), "pairs"), n
 
 
-def disclosures(terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at ``generalise`` or above. ``terms``: ``context_terms``, kept."""
-    pairs = terms.select("entity", "term", "k1", "k2").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
-    e = pairs.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
-    t = pairs.select("term", "k1", "k2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
-    n = pairs.select("k1", "k2").distinct().agg(F.count(F.lit(1)).alias("n"))
-    rated = both.join(e, "entity").join(t, "term").crossJoin(F.broadcast(n))  # n is one row
-    content = F.log2(F.col("n") / F.col("ce"))
-    value = F.when(content > 0, F.log2(F.col("n") * F.col("c") / (F.col("ce") * F.col("ct"))) / content)
-    return rated.select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= generalise)
+def disclosures(pairs: DataFrame, n: int, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosure) of the pairs at ``generalise`` or above. ``pairs``, ``n``: those of ``pairs``."""
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.first("ce").alias("ce"), F.first("ct").alias("ct")).where(F.col("c") >= support)
+    value = F.log2(n * F.col("c") / (F.col("ce") * F.col("ct"))) / F.log2(n / F.col("ce"))
+    return both.select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def added_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(k1, k2, added: array of (start, end, gone)) for the texts where the method adds spans; kept."""
-    terms = keep(context_terms(docs), "context-terms")
-    hit = terms.join(disclosures(terms, support, generalise), ["entity", "term"])
-    gone = hit.groupBy("k1", "k2", "start", "end").agg((F.max("disclosure") >= remove).alias("gone"))
-    return keep(gone.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "gone"))).alias("added")), "added-spans")
+    shared, n = pairs(docs, support, generalise)
+    told = keep(disclosures(shared, n, support, generalise), "disclosures")
+    hit = shared.join(small_side(told), ["entity", "term"])
+    gone = hit.groupBy("k1", "k2", "term").agg(F.first("at").alias("at"), (F.max("disclosure") >= remove).alias("gone"))
+    places = gone.select("k1", "k2", "gone", F.explode("at").alias("p")).select("k1", "k2", F.struct("p.start", "p.end", "gone").alias("place"))
+    return keep(places.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("place")).alias("added")), "added-spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -223,6 +223,53 @@ def test_pii_terms_and_odd_rows(spark, odd, empty):
     assert pii.sanitise(empty).count() == 0 and pii.detect(empty).count() == 0
 
 
+def brute_added(texts, support=3, generalise=0.7, remove=0.9):
+    """{text: [(start, end, gone)]} by the definition, over all distinct texts."""
+    own = {}
+    for t in set(texts):
+        spans = pii.base_spans(t)
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        own[t] = ({pii.entity(t, s) for s in spans}, words)
+    c = collections.Counter(w for _, words in own.values() for w in {x[0] for x in words})
+    ce = collections.Counter(e for es, _ in own.values() for e in es)
+    both = collections.Counter((e, w) for es, words in own.values() for e in es for w in {x[0] for x in words})
+    told = {p: math.log2(len(own) * k / (ce[p[0]] * c[p[1]])) / math.log2(len(own) / ce[p[0]]) for p, k in both.items() if k >= support and ce[p[0]] < len(own)}
+    out = {}
+    for t, (es, words) in own.items():
+        best = [(a, b, max([told.get((e, w), 0) for e in es], default=0)) for w, a, b in words]
+        if hit := [(a, b, d >= remove) for a, b, d in best if d >= generalise - 1e-12]:
+            out[t] = hit
+    return out
+
+
+def test_pii_disclosure_is_over_the_whole_corpus(spark, tiny, monkeypatch):
+    far = " ".join(f"w{i}" for i in range(300))
+    texts = [f"Call office{i} footer at boss@corp.com {far} signed Moriarty item{i}" for i in range(4)]
+    texts += [f"footer item{i} office of nobody, page {i}" for i in range(80)]  # ordinary words, without any entity
+    texts += texts[:3] * 5 + ["Moriarty is here, call"]
+    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(900, None, "s")])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "office0 footer at [EMAIL]" in clean[0] and "Moriarty" not in clean[0] and "item0" in clean[0]
+    assert clean[4] == texts[4] and clean[len(texts) - 1] == texts[-1] and clean[900] is None
+
+    monkeypatch.setattr(pii, "HELD", 50)
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    mails = [f"{x}@mail.example" for x in "abcdef"] + ["+49 30 1234567", "10.0.0.1"]
+    some = []
+    for _ in range(300):
+        k = int(rng.integers(0, 8)) if rng.random() < 0.5 else None
+        w = [words[j] for j in np.minimum(rng.geometric(0.05, 12), len(words) - 1)] + ([mails[k], f"zz{'abcdefgh'[k]}", mails[(k + 3) % 8]] if k is not None else [])
+        some.append(" ".join(rng.permutation(w)))
+    some += [some[int(i)] for i in rng.integers(0, 300, 200)] + [""]
+    for own in (texts, some, [r["text"] for r in docs_of(spark, tiny).collect()]):
+        df = frame(spark, [(i, t, "s") for i, t in enumerate(own)])
+        keys = {tuple(r)[1:]: r["text"] for r in df.select("text", *common.text_keys()).distinct().collect()}
+        got = {keys[r["k1"], r["k2"]]: [tuple(a) for a in r["added"]] for r in pii.added_spans(df).collect()}
+        want = brute_added(own)
+        assert got == want and (want or own not in (texts, some))
+
+
 # --- 4
 
 
