@@ -10,7 +10,7 @@ being a choice among those of level k, so that texts of different lengths are co
 text takes the level that gives it ``SAMPLES`` to twice as many positions. A sample is a character's class, 1 to 15; 0
 stands for "already ended". Likeness is the share of agreeing samples among positions that either text reaches.
 
-Near-duplicate search bands sampled positions; what shares a band with a bucket's leader is verified by likeness.
+Near-duplicate search bands sampled positions; what shares a bucket is verified by likeness, until links span all that is alike.
 """
 
 from __future__ import annotations
@@ -102,6 +102,7 @@ def _choice(level: int, block: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) & np.uint64(1)).astype(np.int64)
 
 
+@lru_cache(1 << 12)
 def samples(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(fingerprint[:2], 16), np.frombuffer(bytes.fromhex("0" + "0".join(fingerprint[2:])) if len(fingerprint) > 2 else b"", np.uint8)
 
@@ -131,21 +132,43 @@ def likeness(a: str, b: str) -> float:
 def band_keys(fingerprint: str) -> list[int]:
     """Keys of the bands at the text's own level and the next, so that lengths near a change of level still meet.
 
-    A band takes ``ROWS`` samples at places fixed by the number of samples, bit-sampled over the whole text.
+    A band takes ``ROWS`` samples out of all that the text has at that level, at the same places whether the level is the
+    text's own or not, for both give the same samples.
     """
     level, x = samples(fingerprint)
     keys = []
     for own, s in ((level, x), (level + 1, coarser(level, x, level + 1))):
-        at = _places(SAMPLES >> (own - level))
-        taken = np.append(s, np.uint8(0))[np.minimum(at, len(s))].tobytes()
+        taken = np.append(s, np.uint8(0))[_places(len(s))].tobytes()
         keys += [xxhash.xxh64_intdigest(b"%d:%d:" % (own, b) + taken[b * ROWS : (b + 1) * ROWS]) - (1 << 63) for b in range(BANDS)]
     return keys
 
 
 @lru_cache
+def _orders() -> np.ndarray:
+    """For each sample of the bands, one band after the other, an order of all places that a fingerprint can have."""
+    return np.random.default_rng(SEED + SAMPLES).permuted(np.tile(np.arange(2 * SAMPLES), (BANDS * ROWS, 1)), axis=1)
+
+
+@lru_cache(None)
 def _places(n: int) -> np.ndarray:
-    """Places of the bands' samples, one band after the other."""
-    return np.random.default_rng(SEED + n).integers(0, max(1, n), BANDS * ROWS)
+    """Places of the bands' samples among ``n``: of each order the first under n, so that nearly equal n have nearly all in common."""
+    orders = _orders()
+    return orders[np.arange(len(orders)), (orders < max(1, n)).argmax(1)]
+
+
+def _join(groups: list[list[tuple[int, str]]], node: int, print_: str, similarity: float) -> list[int]:
+    """Put a member into the groups of those linked so far; the nodes to link it to, one of each group that holds one alike."""
+    to, rest, own = [], [], [(node, print_)]
+    for group in groups:
+        hit = next((n for n, p in group if likeness(p, print_) >= similarity), None)
+        if hit is None:
+            rest.append(group)
+        else:
+            to.append(hit)
+            own, less = (own, group) if len(own) > len(group) else (group, own)
+            own += less
+    groups[:] = [*rest, own]
+    return to
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,9 +192,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fingerprint, class_id): class_id is the smallest doc_id that verified links reach.
 
-    In a bucket of one band every fingerprint is compared with the bucket's leaders so far, and links to the first that
-    is ``similarity`` alike, else becomes a leader; so a bucket emits one link a member. Null doc_ids are never the
-    smallest. An empty table gives an empty table.
+    In a bucket of one band every fingerprint is compared with those before it and links to one of each group that holds
+    one ``similarity`` alike, which joins these groups: a spanning forest of all links inside the bucket, so it emits
+    fewer links than members. Null doc_ids are never the smallest. An empty table gives an empty table.
     """
     rows = keep(fingerprints(docs), "edit-prints")
     groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fingerprint"))
@@ -184,18 +207,15 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "node", "fingerprint"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
+        last, forest = None, []
         for table, _ in sorted_runs(batches, ["key"], 10_000):
             a, b = [], []
             for key, node, print_ in zip(*(table.column(c).to_pylist() for c in ("key", "node", "fingerprint")), strict=True):
                 if key != last:
-                    last, leaders = key, []
-                to = next((n for n, p in leaders if likeness(p, print_) >= similarity), None)
-                if to is None:
-                    leaders.append((node, print_))
-                else:
-                    a.append(node)
-                    b.append(to)
+                    last, forest = key, []
+                to = _join(forest, node, print_, similarity)
+                a += [node] * len(to)
+                b += to
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

@@ -182,6 +182,52 @@ def test_edit_near_duplicates(spark, empty):
     assert editprint.near_duplicate_classes(empty).count() == 0
 
 
+def test_edit_bands_meet_across_levels_and_lengths():
+    e = editprint.Embedder()
+    rng = np.random.default_rng(7)
+
+    def of(t):
+        c = e.codes(t)
+        return e.fingerprint(c, e.walk(c))
+
+    across, front = [], []
+    for size in (150, 300, 600, 1200):
+        for _ in range(120):
+            t = "".join(rng.choice(list("abcdefghijklmnop "), int(size * rng.uniform(0.7, 1.2))))
+            at = int(rng.integers(0, len(t)))
+            more = "".join(rng.choice(list("abcdefghijklmnop "), max(1, len(t) // 30)))
+            for other in (t[:at] + more + t[at:], t + more):
+                a, b = of(t), of(other)
+                if editprint.likeness(a, b) >= editprint.SIMILARITY and a[:2] != b[:2]:
+                    across.append(not set(editprint.band_keys(a)).isdisjoint(editprint.band_keys(b)))
+        for _ in range(60):  # the first fifth of the samples is another
+            level, x = editprint.samples(of("".join(rng.choice(list("abcdefghijklmnop "), size))))
+            y = x.copy()
+            y[: len(x) // 5] = (y[: len(x) // 5] + 1) % 15 + 1
+            a, b = (f"{level:02x}" + v.tobytes().hex()[1::2] for v in (x, y))
+            front.append(not set(editprint.band_keys(a)).isdisjoint(editprint.band_keys(b)))
+    assert len(across) >= 15 and np.mean(across) >= 0.95, (len(across), np.mean(across))
+    assert np.mean(front) >= 0.95, np.mean(front)
+
+
+def test_edit_buckets_give_the_components_of_all_links():
+    rng = np.random.default_rng(8)
+    start = rng.integers(1, 16, 200).astype(np.uint8)
+    chain = [start]
+    for i in range(9):  # neighbours are 0.85 alike, others less than 0.8
+        chain.append(chain[-1].copy())
+        chain[-1][i * 20 : i * 20 + 30] = rng.integers(1, 16, 30)
+    prints = ["03" + x.tobytes().hex()[1::2] for x in [*chain, *rng.integers(1, 16, (5, 200)).astype(np.uint8)]]
+    near = {i: {j for j in range(len(prints)) if editprint.likeness(prints[i], prints[j]) >= 0.8} for i in range(len(prints))}
+    assert not near[0] >= set(range(10))
+    for _ in range(20):
+        order, forest, links = rng.permutation(len(prints)), [], []
+        for i in order:
+            links += [(int(i), j) for j in editprint._join(forest, int(i), prints[i], 0.8)]
+        assert all(b in near[a] for a, b in links) and len(links) == len(prints) - len(forest)
+        assert sorted(sorted(n for n, _ in g) for g in forest) == [list(range(10)), *[[i] for i in range(10, 15)]]
+
+
 # --- 3
 
 
