@@ -1,15 +1,24 @@
 """LM scoring with a Brown class-based bigram model.
 
-The model: p(w | v) = p(class w | class v) * p(w | class w). Classes come from exchange clustering: each item moves to the
-class that raises the likelihood of the class bigrams most, until a sweep moves nothing. Items are the ``HEAD`` most
-frequent words, the text's end, and groups of all other words by their last three bytes, the ``SUFFIXES`` largest of them
-apart; so every word, seen or not, has a class, and the item bigrams, counted over all training texts, are at most
-(HEAD + SUFFIXES + 2)^2 numbers at any scale. Transitions are smoothed by the classes' own shares. Inside a class a word
-seen c times has (c - D), D = n1 / (n1 + 2 n2), and what that leaves is the share of the class's unseen words: it all adds
-up to one.
-
-Counts of single words are exact for all words. The ``KNOWN`` most frequent ones are broadcast; the others of each text
-go through one join with the count table. Each distinct text of a task does so once.
+The model: p(w | v) = p(class w | class v) * p(w | class w). Exchange clustering gives the classes, over items: the text's
+end, the ``VOCAB`` most frequent training words, each by itself, and all other words by their last three characters, the
+``SUFFIXES`` largest such groups apart and the others together. So every word, seen or not, has a class.
+
+1. The ``HEAD`` most frequent words and the groups are exchanged one by one on their bigrams, (HEAD + SUFFIXES + 2)^2
+   counts at most, until a sweep gains next to nothing.
+2. Then the other words of the vocabulary move, all at a time, to the class that fits their neighbours' classes best. One
+   pass over the texts counts (word, side, class of the neighbour); sweeps go on until one gains less than ``GAIN`` nats a
+   token, ``SWEEPS`` at most, and a sweep that loses is undone.
+
+Transitions are smoothed by the classes' own shares. Inside a class a word seen c times has (c - D) / N(class), with
+D = n1 / (n1 + 2 n2). What the classes leave, and one count more for what no class foresees, goes to all unseen words
+together; among them a character model shares it out: byte n-grams with an end, learned from the training words' types,
+divided by what it does not give to seen words. Over all strings of words the probabilities add up to one after every
+word, so an unlikely spelling costs as much as it should.
+
+Counts of single words are exact for all words. Those of the vocabulary are broadcast; the others of each text go through
+one join with the count table. Each distinct text of a task does so once. What reaches the driver is the vocabulary and
+counts over it (VOCAB x 2 x CLASSES), and the spelling table, all of them bounded by parameters.
 """
 
 from __future__ import annotations
@@ -25,11 +34,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import column, keep, small_batches, text_keys, utf8
 
-HEAD, SUFFIXES, CLASSES = 1000, 500, 48
-SUFFIX_BYTES = 3
-KNOWN = 50_000
-SWEEPS = 5
+VOCAB, HEAD, SUFFIXES, CLASSES = 50_000, 500, 500, 48
+SUFFIX = 3
+#: Nats a token that a sweep must gain for another to follow, and how many follow at most.
+GAIN, SWEEPS = 0.01, 8
 BETA = 5.0
+#: Of the spelling: contexts for each preceding byte, and the weight of the shorter context.
+FAN, SPELL_BETA = 32, 4.0
+SYMBOLS = 257
 #: Entries after which a task hands on its counts, and words whose item it remembers.
 FLUSH = 150_000
 END, FIRST = 0, 1
@@ -65,75 +77,132 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+# --- items
+
+
+def suffix(word: bytes) -> bytes:
+    """The last three characters."""
+    return word[-SUFFIX:] if word.isascii() else word.decode("utf-8", "replace")[-SUFFIX:].encode()
+
+
 @dataclass
 class Items:
-    """The items of words: frequent words, suffix groups and the rest."""
+    """The items of words: 0 is the end, then the words of the vocabulary by rank, suffix groups and the rest."""
 
     words: dict[bytes, int]
     suffixes: dict[bytes, int]
 
+    @property
+    def groups(self) -> int:
+        """The first item that is not a single word."""
+        return FIRST + len(self.words)
+
     @property
     def rest(self) -> int:
-        return FIRST + len(self.words) + len(self.suffixes)
+        return self.groups + len(self.suffixes)
 
     @property
     def size(self) -> int:
         return self.rest + 1
 
+    def group(self, word: bytes) -> int:
+        return self.suffixes.get(suffix(word), self.rest)
+
     def finder(self):
-        words, suffixes, rest = self.words, self.suffixes, self.rest
+        words, group = self.words, self.group
 
         class Found(dict):
             def __missing__(found, word: bytes) -> int:
                 if len(found) >= FLUSH:
                     found.clear()
                 item = words.get(word)
-                if item is None:
-                    item = suffixes.get(word[-SUFFIX_BYTES:], rest)
-                found[word] = item
+                item = found[word] = group(word) if item is None else item
                 return item
 
         return Found().__getitem__
 
-
-def item_bigrams(texts: DataFrame, items: Items) -> np.ndarray:
-    """Counts of item bigrams over all ``texts``; each text starts after and ends with the end item."""
-    size = items.size
+    def head(self, most: int) -> np.ndarray:
+        """Each item's place among the end, the ``most`` most frequent words and the groups: other words have their group's."""
+        words = min(most, len(self.words))
+        place = np.concatenate((np.arange(FIRST + words), np.zeros(len(self.words) - words, np.int64), FIRST + words + np.arange(len(self.suffixes) + 1)))
+        for word, item in self.words.items():
+            if item >= FIRST + words:
+                place[item] = self.group(word) - len(self.words) + words
+        return place.astype(np.int64)
+
+
+def _streams(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[np.ndarray]:
+    """The items of all texts, some texts at a time; each starts after and ends with the end."""
+    find = items.finder()
+    stream: list[int] = [END]
+    for batch in batches:
+        for text in column(batch, "text").to_pylist():
+            stream += map(find, tokens_of(text))
+            stream.append(END)
+            if len(stream) > 1 << 20:
+                yield np.array(stream, np.int64)
+                stream = [END]
+    yield np.array(stream, np.int64)
+
+
+def _cells(texts: DataFrame, size: int, count) -> np.ndarray:
+    """Sums over all ``texts`` of ``count(stream) -> cells``, below ``size``; tasks sum first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, counts = items.finder(), np.zeros(size * size, np.int64)
-        stream: list[int] = [END]
-        for batch in batches:
-            for text in column(batch, "text").to_pylist():
-                stream += map(find, tokens_of(text))
-                stream.append(END)
-                if len(stream) > 1 << 19:
-                    _add_bigrams(counts, stream, size)
-                    stream = [END]
-        _add_bigrams(counts, stream, size)
-        cells = np.flatnonzero(counts)
+        total = np.zeros(size, np.int32)
+        for cells in count(batches):
+            total += np.bincount(cells, minlength=size).astype(np.int32)
+        cells = np.flatnonzero(total).astype(np.int32)
         for at in range(0, len(cells), 1 << 17):
             own = cells[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[own])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
-    out = np.zeros(size * size, np.int64)
+    rows = texts.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # ``size`` rows at most
+    out = np.zeros(size, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(size, size)
+    return out
+
+
+def item_bigrams(texts: DataFrame, items: Items, place: np.ndarray) -> np.ndarray:
+    """Counts of bigrams of the items' places over all ``texts``."""
+    size = int(place.max()) + 1
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for s in _streams(batches, items):
+            p = place[s]
+            yield p[:-1] * size + p[1:]
 
-def _add_bigrams(counts: np.ndarray, stream: list[int], size: int) -> None:
-    s = np.array(stream, np.int64)
-    cells, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
-    counts[cells] += n
+    return _cells(texts, size * size, count).reshape(size, size)
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each item. The end has a class of its own, number 0; the others start by rank and move one by one."""
+def neighbours(texts: DataFrame, items: Items, own: np.ndarray, head: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams [k, k], and for each word of the vocabulary after the ``head`` first the classes before and after it [, 2k]."""
+    low, high = FIRST + min(head, len(items.words)), items.groups
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for s in _streams(batches, items):
+            c = own[s]
+            before, after = s[:-1], s[1:]
+            second, first = (after >= low) & (after < high), (before >= low) & (before < high)
+            left = k * k + (after[second] - low) * 2 * k + c[:-1][second]
+            right = k * k + (before[first] - low) * 2 * k + k + c[1:][first]
+            yield np.concatenate((c[:-1] * k + c[1:], left, right))
 
+    cells = _cells(texts, k * k + (high - low) * 2 * k, count)
+    return cells[: k * k].reshape(k, k), cells[k * k :].reshape(high - low, 2 * k)
+
+
+# --- exchange
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each item. The end has a class of its own, number 0; the others start by rank and move one by one,
+    each to the class that raises the likelihood of the class bigrams most, until a sweep gains less than ``GAIN`` / 50
+    nats a token."""
     m = bigrams.astype(float)
     total = m.sum(0) + m.sum(1)
     order = [i for i in np.argsort(-total, kind="stable") if i != END]
@@ -144,8 +213,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     eye = np.eye(k)[own]
     n = eye.T @ m @ eye
     every = np.arange(k)
-    for _ in range(sweeps):
-        moved = 0
+    gained = np.inf
+    while gained > GAIN / 50 * total.sum():  # the likelihood has a bound, so it ends
+        gained = 0.0
         for w in order:
             if not total[w]:
                 continue
@@ -156,105 +226,245 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             n[a] -= r
             n[:, a] -= q
             n[a, a] -= self_
-            base = f(n)
-            rows = f(n + r[None, :]) - base
-            cols = f(n + q[:, None]) - base
-            both = f(n[every, every] + r + q + self_) - base[every, every]
-            out, into = n.sum(1), n.sum(0)
+            base = _f(n)
+            rows = _f(n + r[None, :]) - base
+            cols = _f(n + q[:, None]) - base
+            both = _f(n[every, every] + r + q + self_) - base[every, every]
+            out, into = n.sum(1) + q, n.sum(0) + r  # its neighbours' other sides are there whatever its class
             gain = rows.sum(1) - rows[every, every] + cols.sum(0) - cols[every, every] + both
-            gain -= f(out + r.sum() + self_) - f(out) + f(into + q.sum() + self_) - f(into)
+            gain -= _f(out + r.sum() + self_) - _f(out) + _f(into + q.sum() + self_) - _f(into)
             gain[0] = -np.inf
-            b = a if gain.max() <= gain[a] + 1e-9 else int(np.argmax(gain))
+            b = a if gain.max() <= gain[a] + 1e-6 else int(np.argmax(gain))
+            gained += gain[b] - gain[a]
             n[b] += r
             n[:, b] += q
             n[b, b] += self_
-            moved += b != a
             own[w] = b
-        if not moved:
-            break
     return own
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood, in nats, of the class bigrams, but for what no exchange changes."""
+    n = pairs.astype(float)
+    return float(_f(n).sum() - _f(n.sum(1)).sum() - _f(n.sum(0)).sum())
+
+
+def best_classes(pairs: np.ndarray, around: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The best class of each word by the classes ``around`` it, all words against the same class bigrams; ties stay."""
+    k = len(pairs)
+    logs = np.log(np.maximum(pairs, 0.5))
+    n = around[:, :k].sum(1)
+    worth = around[:, :k] @ logs + around[:, k:] @ logs.T
+    worth -= n[:, None] * (np.log(np.maximum(pairs.sum(0), 0.5)) + np.log(np.maximum(pairs.sum(1), 0.5)))[None, :]
+    worth[:, 0] = -np.inf
+    to = worth.argmax(1)
+    here = np.arange(len(own))
+    return np.where(worth[here, to] > worth[here, own] + 1e-9, to, own)
+
+
+def cluster(texts: DataFrame, items: Items, head: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item, and the class bigrams of all ``texts``."""
+    k = classes + 1
+    place = items.head(head)
+    own = exchange(item_bigrams(texts, items, place), classes)[place]
+    low, high = FIRST + min(head, len(items.words)), items.groups
+    best, best_own, best_pairs = -np.inf, own, None
+    for sweep in range(SWEEPS + 1):
+        pairs, around = neighbours(texts, items, own, head, k)
+        now = likelihood(pairs)
+        more = now - best
+        if more > 0:
+            best, best_own, best_pairs = now, own, pairs
+        moved = best_classes(pairs, around, own[low:high])
+        if sweep == SWEEPS or more <= GAIN * max(1, pairs.sum()) or (moved == own[low:high]).all():
+            break
+        own = own.copy()
+        own[low:high] = moved
+    return best_own, best_pairs
+
+
+# --- spelling
+
+
+def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (context, symbol) of all symbols of ``words``, the end after each included, and where each word starts."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    symbols = np.full(int(sizes.sum()), SYMBOLS - 1, np.int64)
+    inside = np.ones(len(symbols), bool)
+    inside[ends] = False
+    symbols[inside] = np.frombuffer(b"".join(words), np.uint8)
+    last = [np.concatenate(([SYMBOLS - 1], symbols[:-1]))]  # before a word stands an end
+    for _ in range(2):
+        before = np.concatenate(([SYMBOLS - 1], last[-1][:-1]))
+        last.append(np.where(last[-1] == SYMBOLS - 1, SYMBOLS - 1, before))
+    fan = ((last[1] * SYMBOLS + last[2]) * 0x9E3779B1 >> 24) % FAN
+    return (last[0] * FAN + fan) * SYMBOLS + symbols, ends + 1 - sizes
+
+
+def spelling(counts: DataFrame) -> np.ndarray:
+    """log10 p(symbol | context) [context, symbol] over the types of ``counts`` (word), each counted once.
+
+    Contexts are the last byte and a hash of the two before it; they back off to the last byte alone, and that to all
+    bytes alike. No word is empty and none holds white space or A-Z.
+    """
+    contexts = SYMBOLS * FAN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(contexts * SYMBOLS, np.int64), []
+        for batch in batches:
+            held += column(batch, "word").to_pylist()
+            if len(held) >= 50_000:
+                total += np.bincount(_spelt(held)[0], minlength=len(total))
+                held = []
+        if held:
+            total += np.bincount(_spelt(held)[0], minlength=len(total))
+        own = np.flatnonzero(total)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["cell", "n"])
+
+    rows = counts.select("word").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # contexts * SYMBOLS at most
+    n = np.zeros(contexts * SYMBOLS)
+    n[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    n = n.reshape(SYMBOLS, FAN, SYMBOLS)
+    some = np.ones(SYMBOLS)
+    some[[*range(9, 14), 32, *range(65, 91)]] = 0
+    floor = np.tile(some, (SYMBOLS, 1))
+    floor[-1, -1] = 0  # at the start
+    floor /= floor.sum(1, keepdims=True)
+    one = n.sum(1)
+    one = (one + SPELL_BETA * floor) / (one.sum(1, keepdims=True) + SPELL_BETA)
+    full = (n + SPELL_BETA * one[:, None, :]) / (n.sum(2, keepdims=True) + SPELL_BETA)
+    with np.errstate(divide="ignore"):
+        return np.log10(full.reshape(contexts, SYMBOLS)).astype(np.float32)
+
+
+def spelt_log10(table: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """log10 of each word's probability by its spelling."""
+    if not words:
+        return np.zeros(0)
+    cells, starts = _spelt(words)
+    return np.add.reduceat(table.reshape(-1)[cells].astype(float), starts)
+
+
+def spelt_share(counts: DataFrame, table: np.ndarray) -> float:
+    """What the spelling gives to all words of ``counts`` together."""
+    shared = counts.sparkSession.sparkContext.broadcast(table)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            total += float((10 ** spelt_log10(shared.value, column(batch, "word").to_pylist())).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["q"])
+
+    return counts.select("word").mapInArrow(run, "q double").agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0]
+
+
+# --- model
+
+
 @dataclass
 class Model:
     items: Items
     classes: np.ndarray  # of items
-    moves: np.ndarray  # log10 p(class | class before) - log10 of the class's size
-    unseen: np.ndarray  # log10 of what a class leaves to unseen words
+    moves: np.ndarray  # log10 p(class | class before) - log10 of the class's tokens, but for the end
+    unseen: np.ndarray  # log10 p(any unseen word | class before) - log10 of the spelling's share of unseen words
+    spelling: np.ndarray
     discount: float
     train_tokens: int
     types: int
     ends: int
-    known: dict[bytes, int]
+    counts: np.ndarray  # of the vocabulary's words, by item
 
 
-def fit(docs: DataFrame, head: int = HEAD, suffixes: int = SUFFIXES, classes: int = CLASSES, known: int = KNOWN) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, vocab: int = VOCAB, head: int = HEAD, suffixes: int = SUFFIXES, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model of ``docs`` (doc_id, text) outside the held-out fold, and the kept table of its word counts."""
     small_batches(docs.sparkSession)
     texts = docs.where(~held_out()).select("text")
     counts = keep(word_counts(texts), "word-counts")
     ends = texts.count()
     n, types, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    n1, n2 = n1 + (ends == 1), n2 + (ends == 2)
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(known).collect()]
-    words = {w: FIRST + i for i, (w, _) in enumerate(top[:head])}
-    line = (top[head - 1][1], top[head - 1][0]) if len(top) >= head else None
-    tail = counts.where((F.col("n") < line[0]) | (F.col("n") == line[0]) & (F.col("word") > F.lit(line[1]))) if line else counts.limit(0)
-    groups = tail.groupBy(F.expr(f"substring(word, -{SUFFIX_BYTES}, {SUFFIX_BYTES})").alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t"))
+    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocab).collect()]
+    tail = counts.limit(0)
+    if len(top) == vocab:
+        word, least = top[-1]
+        tail = counts.where((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > F.lit(word)))
+    groups = tail.groupBy(F.right(F.col("word").cast("string"), F.lit(SUFFIX)).cast("binary").alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t"))
     largest = groups.orderBy(F.desc("n"), "s").limit(suffixes).collect()
-    items = Items(words, {bytes(r["s"]): FIRST + len(words) + i for i, r in enumerate(largest)})
-    item_types = np.array([1 if ends else 0] + [1] * len(words) + [r["t"] for r in largest] + [0], float)
-    item_types[-1] = types - len(words) - sum(r["t"] for r in largest)
-    bigrams = item_bigrams(texts, items)
-    own = exchange(bigrams, classes)
+    items = Items({w: FIRST + i for i, (w, _) in enumerate(top)}, {bytes(r["s"]): FIRST + len(top) + i for i, r in enumerate(largest)})
+    item_types = np.array([0] + [1] * len(top) + [r["t"] for r in largest] + [0], float)
+    item_types[-1] = types - item_types.sum()
+    own, pairs = cluster(texts, items, head, classes)
     k = classes + 1
-    eye = np.eye(k)[own]
-    pairs, into, class_types = eye.T @ bigrams @ eye, np.bincount(own, bigrams.sum(0), k), np.bincount(own, item_types, k)
+    into, class_types = pairs.sum(0).astype(float), np.bincount(own, item_types, k)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    share = (into + 1) / (into + 1).sum()
-    moves = np.log10((pairs + BETA * share[None, :]) / (pairs.sum(1, keepdims=True) + BETA))
-    moves[:, 1:] -= np.log10(into[1:] + 1)[None, :]  # the end is its class's only word
-    return Model(items, own, moves, np.log10(discount * class_types + 1), discount, int(n + ends), int(types + (ends > 0)), ends, dict(top)), counts
+    share = into.copy()
+    share[0] += 1  # a text may end even if none was seen
+    to = (pairs + BETA * share[None, :] / (into.sum() + 2)) / (pairs.sum(1, keepdims=True) + BETA)
+    beyond = BETA / (into.sum() + 2) / (pairs.sum(1) + BETA)  # one count for what no class foresees
+    left = discount * class_types / np.maximum(into, 1)
+    with np.errstate(divide="ignore"):
+        moves = np.log10(to)
+        moves[:, 1:] -= np.log10(np.maximum(into[1:], 1))[None, :]  # the end is its class's only word
+    table = spelling(counts)
+    unseen = np.log10(beyond + (to * left[None, :]).sum(1)) - np.log10(max(1e-12, 1 - spelt_share(counts, table)))
+    of = np.array([ends] + [c for _, c in top], np.int64)
+    return Model(items, own, moves, unseen, table, discount, int(n + ends), int(types + (ends > 0)), ends, of), counts
 
 
 PARTS = (
     "doc_id long, held_out boolean, k1 long, k2 long, n_tokens long, n_known long, base double, score double, "
-    "sent int, rest array<struct<word: binary, n: long, unseen: double>>"
+    "sent int, rest array<struct<word: binary, n: long, move: double, unseen: double>>"
 )
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
-    """What each text's frequent words and class moves give, and its other words, to be joined with their counts."""
+    """What each text's words of the vocabulary and its end give, and its other words, to be joined with their counts.
+
+    An other word comes with what its class moves give if it was seen, and what its spelling gives if not.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        find, known, classes, moves, unseen, d = m.items.finder(), m.known, m.classes, m.moves, m.unseen, m.discount
-        logs = {w: (np.log10(c + 1), np.log10(c - d)) for w, c in known.items()}
-        end = np.log10(m.ends + 1), bool(m.ends)
+        find, classes, moves, groups = m.items.finder(), m.classes, m.moves, m.items.groups
+        of_base = np.log10(m.counts + 1.0)
+        of_score = np.log10(np.maximum(m.counts - m.discount, 1e-300))
+        of_score[END] = 0.0
         seen: set[tuple[int, int]] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch, rows = whole.slice(at, 500), []
+                batch, rows, others = whole.slice(at, 500), [], []
                 for doc, text, held, k1, k2 in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "held_out", "k1", "k2")), strict=True):
                     words = tokens_of(text)
                     items = np.fromiter(map(find, words), np.int64, len(words))
-                    path = np.concatenate(([END], classes[items], [END])) if len(words) else np.array([END, END])
-                    base, score, n_known, rest = end[0], float(moves[path[:-1], path[1:]].sum()), int(end[1]), []
-                    first = (k1, k2) not in seen
-                    for w, n in Counter(words).items():
-                        if (v := logs.get(w)) is not None:
-                            base += n * v[0]
-                            score += n * v[1]
-                            n_known += n
-                        elif first:
-                            rest.append({"word": w, "n": n, "unseen": unseen[classes[find(w)]]})
-                    seen.add((k1, k2))
-                    rows.append((doc, held, k1, k2, len(words) + 1, n_known, float(base), float(score), int(first), rest))
+                    items = np.append(items, END)
+                    path = classes[items]
+                    before = np.append(END, path[:-1])
+                    step = moves[before, path]
+                    known = items < groups
+                    own = items[known]
+                    base, score = float(of_base[own].sum()), float((step[known] + of_score[own]).sum())
+                    first, rest = (k1, k2) not in seen, {}
+                    if first:
+                        for i in np.flatnonzero(~known).tolist():
+                            x = rest.setdefault(words[i], [0, 0.0, 0.0])
+                            x[0] += 1
+                            x[1] += step[i]
+                            x[2] += m.unseen[before[i]]
+                        seen.add((k1, k2))
+                    others.append(rest)
+                    rows.append((doc, held, k1, k2, len(items), len(own) - (not m.ends), base, score, int(first)))
+                spelt = spelt_log10(m.spelling, [w for rest in others for w in rest])
+                sizes = np.cumsum([0] + [len(rest) for rest in others]).astype(np.int32)
+                flat = [(w, *x) for rest in others for w, x in rest.items()]
+                word, n, move, unseen = zip(*flat, strict=True) if flat else ((), (), (), ())
+                n = np.array(n, np.int64)
+                structs = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(n), pa.array(move, pa.float64()), pa.array(np.array(unseen, float) + n * spelt)], ["word", "n", "move", "unseen"])
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("unseen", pa.float64())]))]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
                 names = ["doc_id", "held_out", "k1", "k2", "n_tokens", "n_known", "base", "score", "sent", "rest"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(sizes), structs)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), *text_keys())
     return rows.mapInArrow(run, PARTS)
@@ -264,16 +474,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     A null or empty text is the end alone; a null doc_id is in the training fold; equal texts score alike. An empty table
-    gives an empty table. Without training texts every base score is 0.
+    gives an empty table. Without training texts every base score is 0, and words are scored by their spelling alone.
     """
     parts = keep(_parts(docs, model), "lm-parts")
-    rest = parts.where(F.size("rest") > 0).select("k1", "k2", F.explode("rest").alias("r")).select("k1", "k2", "r.word", F.col("r.n").alias("m"), "r.unseen")
+    rest = parts.where(F.size("rest") > 0).select("k1", "k2", F.explode("rest").alias("r")).select("k1", "k2", "r.word", F.col("r.n").alias("m"), "r.move", "r.unseen")
     c = F.coalesce(F.col("n"), F.lit(0))
     joined = rest.join(counts, "word", "left")
     more = joined.groupBy("k1", "k2").agg(
         F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("known2"),
         F.sum(F.col("m") * F.log10(c + 1)).alias("base2"),
-        F.sum(F.col("m") * F.when(c > 0, F.log10(c - F.lit(model.discount))).otherwise(F.col("unseen"))).alias("score2"),
+        F.sum(F.when(c > 0, F.col("move") + F.col("m") * F.log10(c - F.lit(model.discount))).otherwise(F.col("unseen"))).alias("score2"),
     )
     times = parts.groupBy("k1", "k2").agg(F.sum("sent").alias("times"))  # tasks that sent a text's other words
     sums = times.join(more, ["k1", "k2"]).select("k1", "k2", *[(F.col(x) / F.col("times")).alias(x) for x in ("known2", "base2", "score2")])

@@ -319,9 +319,67 @@ def test_pii_disclosure_is_over_the_whole_corpus(spark, tiny, monkeypatch):
 # --- 4
 
 
-def test_lm_base_scores_and_sums(spark, tiny):
+SMALL = {"vocab": 200, "head": 50, "suffixes": 20, "classes": 6}
+
+
+def brute_lm(model, train, texts):
+    """log10 p(text) of each text by the definition, from the training texts and the classes of the items."""
+    cls = lambda w: int(model.classes[model.items.words.get(w, model.items.suffixes.get(lm.suffix(w), model.items.rest))])
+    tokens = [lm.tokens_of(t) for t in train]
+    n = collections.Counter(w for ws in tokens for w in ws)
+    pairs, into, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for ws in tokens:
+        path = [0, *map(cls, ws), 0]
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += 1
+            into[b] += 1
+            before[a] += 1
+    types = collections.Counter(map(cls, n))
+    n1, n2 = sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values())
+    d, total, k = n1 / (n1 + 2 * n2), sum(into.values()), len(model.moves)
+    to = lambda a, c: (pairs[a, c] + lm.BETA * (into[c] + (c == 0)) / (total + 2)) / (before[a] + lm.BETA)
+    far, near = collections.Counter(), collections.Counter()
+
+    def contexts(w):
+        x = [256, 256, 256, *w]
+        for i, symbol in enumerate([*w, 256]):
+            yield x[i + 2], ((x[i + 1] * 257 + x[i]) * 0x9E3779B1 >> 24) % lm.FAN, symbol
+
+    for w in n:
+        for last, fan, symbol in contexts(w):
+            for key in ((last, fan, symbol), (last, fan)):
+                far[key] += 1
+            for key in ((last, symbol), (last,)):
+                near[key] += 1
+    none = {*range(9, 14), 32, *range(65, 91)}
+
+    def spelt(w):
+        p = 1.0
+        for last, fan, symbol in contexts(w):
+            floor = 0 if symbol in none or last == 256 == symbol else 1 / (257 - len(none) - (last == 256))
+            one = (near[last, symbol] + lm.SPELL_BETA * floor) / (near[last,] + lm.SPELL_BETA)
+            p *= (far[last, fan, symbol] + lm.SPELL_BETA * one) / (far[last, fan] + lm.SPELL_BETA)
+        return p
+
+    seen = sum(map(spelt, n))
+    scores = []
+    for text in texts:
+        at, out = 0, 0.0
+        for w in lm.tokens_of(text):
+            if n[w]:
+                out += math.log10(to(at, cls(w)) * (n[w] - d) / into[cls(w)])
+            else:
+                new = lm.BETA / (total + 2) / (before[at] + lm.BETA) + sum(to(at, c) * d * types[c] / into[c] for c in range(1, k) if into[c])
+                out += math.log10(new * spelt(w) / (1 - seen))
+            at = cls(w)
+        scores.append(out + math.log10(to(at, 0)))
+    return scores
+
+
+def test_lm_scores_by_brute_force(spark, tiny):
     df = docs_of(spark, tiny)
-    got = {r["doc_id"]: r for r in lm.score(df, *lm.fit(df, head=50, suffixes=20, classes=6, known=200)).collect()}
+    model, counts = lm.fit(df, **SMALL)
+    got = {r["doc_id"]: r for r in lm.score(df, model, counts).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in got}
     c, ends = collections.Counter(), 0
     for r in df.collect():
@@ -334,18 +392,60 @@ def test_lm_base_scores_and_sums(spark, tiny):
         want = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[r["doc_id"]], len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
         assert g["base_score"] == pytest.approx(want, rel=1e-9)
-    assert sum(g["score"] for g in got.values()) > sum(g["base_score"] for g in got.values())
+    rows = sorted(df.collect(), key=lambda r: len(r["text"] or ""))
+    train = [r["text"] for r in rows if not held[r["doc_id"]]]
+    own = [r for r in rows if held[r["doc_id"]]][:12] + rows[:3] + rows[60:63]
+    assert [got[r["doc_id"]]["score"] for r in own] == pytest.approx(brute_lm(model, train, [r["text"] for r in own]), rel=1e-5)
+    per = {r["held_out"]: r["perplexity"] for r in lm.perplexity(lm.score(df, model, counts)).collect()}
+    assert per[True] >= per[False]
 
 
 def test_lm_probabilities_add_up(spark, tiny):
-    model, counts = lm.fit(docs_of(spark, tiny), head=50, suffixes=20, classes=6, known=100)
+    model, counts = lm.fit(docs_of(spark, tiny), **(SMALL | {"vocab": 100}))
     find, words = model.items.finder(), [(bytes(r["word"]), r["n"]) for r in counts.collect()]
-    k = len(model.moves)
-    for before in range(k):
+    left = 1 - (10 ** lm.spelt_log10(model.spelling, [w for w, _ in words])).sum()  # of the spelling, for unseen words
+    for before in range(len(model.moves)):
         total = 10 ** model.moves[before, 0]  # the end
         total += sum(10 ** (model.moves[before, model.classes[find(w)]] + math.log10(n - model.discount)) for w, n in words)
-        total += sum(10 ** (model.moves[before, c] + model.unseen[c]) for c in range(1, k))
-        assert total == pytest.approx(1, abs=1e-6)
+        total += 10 ** model.unseen[before] * left
+        assert total == pytest.approx(1, abs=1e-5)
+    p = 10.0 ** model.spelling.astype(float)  # every symbol of every context: words of all lengths add up to one
+    assert np.allclose(p.sum(1), 1, atol=1e-4) and (p[-lm.FAN :, -1] == 0).all() and (p[:, ord("A")] == 0).all()
+
+
+def test_lm_prefers_text_to_gibberish(spark, tiny):
+    model, counts = lm.fit(docs_of(spark, tiny), **SMALL)
+    rng = np.random.default_rng(9)
+    real = [r["text"] for r in docs_of(spark, tiny).collect() if len(r["text"] or "") > 200][:30]
+    noise = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), len(w))) for w in t.split()) for t in real]
+    got = lm.score(frame(spark, [(i, t, "s") for i, t in enumerate(real + noise)]), model, counts).collect()
+    per = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    assert all(per[i] > per[i + len(real)] + 1 for i in range(len(real)))
+
+
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.default_rng(0)
+    m = rng.poisson(rng.gamma(0.3, 4, (30, 30)))
+    own = lm.exchange(m, 4)
+
+    def worth(own):
+        eye = np.eye(5)[own]
+        return lm.likelihood(eye.T @ m @ eye)
+
+    assert max(worth(np.where(np.arange(30) == i, c, own)) for i in range(1, 30) for c in range(1, 5)) <= worth(own) + 1e-6
+
+
+def test_clusters_of_the_vocabulary_fit_better(spark, tiny):
+    texts = docs_of(spark, tiny).select("text")
+    counts = sorted(((bytes(r["word"]), r["n"]) for r in lm.word_counts(texts).collect()), key=lambda x: (-x[1], x[0]))[:300]
+    items = lm.Items({w: 1 + i for i, (w, _) in enumerate(counts)}, {b"on.": 301, b"ing": 302})
+    place = items.head(40)
+    start = lm.exchange(lm.item_bigrams(texts, items, place), 6)[place]
+    before, around = lm.neighbours(texts, items, start, 40, 7)
+    own, pairs = lm.cluster(texts, items, 40, 6)
+    assert lm.likelihood(pairs) > lm.likelihood(before) and (own[:41] == start[:41]).all()
+    assert around.sum() == 2 * sum(n for _, n in counts[40:]) and pairs.sum() == before.sum()
+    assert (lm.neighbours(texts, items, own, 40, 7)[0] == pairs).all()
 
 
 def test_exchange_finds_two_languages():
