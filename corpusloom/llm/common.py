@@ -108,14 +108,19 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-#: Bits of the fixed-size filters below: 2^27 bits are 16 MB, whatever the input's size.
-FILTER_BITS = 27
+#: Bits of the filters below, as powers of two: 2^28 bits are 32 MB, whatever the input's size.
+LEAST_BITS, FILTER_BITS = 20, 28
+
+
+def bits_for(keys: int) -> int:
+    """Bits for so many keys: 16 to 32 for each, up to the bound; beyond it the filter lets more through."""
+    return min(FILTER_BITS, max(LEAST_BITS, (16 * keys).bit_length()))
 
 
 def key_filter(keys: DataFrame, name: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of ``2^bits`` bits with the bit of every key (a long column) set, built by Spark.
 
-    Its size is fixed, so it may be broadcast at any scale. A clear bit proves that a key is absent; a set bit proves
+    Its size is bounded, so it may be broadcast at any scale. A clear bit proves that a key is absent; a set bit proves
     nothing, so what passes must still be joined exactly. More keys mean more rows in that join, never other results.
     """
     slot = F.shiftrightunsigned(F.col(name), 64 - bits)

@@ -1,20 +1,21 @@
 """Substring dedup by de Bruijn compaction of repeated word windows.
 
-Windows of ``K`` consecutive words are the edges of a de Bruijn graph (its nodes are the K-1 words they share). Only
-edges that come in several texts matter, and they are found without shuffling every window:
+Windows of ``K`` consecutive words are the edges of a de Bruijn graph; its nodes are the K-1 words at either end. Only edges
+that come in several texts matter, and they are found without shuffling every window:
 
 1. Each window has an anchor, the least hash among its sub-windows of ``M`` words. Equal windows have equal anchors, and
    neighbouring windows mostly share theirs, so about one row in five windows is shuffled. Anchors that occur in two
-   different texts are marked in a bitmap of fixed size.
-2. Windows whose anchor is marked become edges. Those of one occurrence of an anchor travel as one row and are grouped by
-   anchor, so equal edges meet; they agree in two independent hashes, the anchor's and the window's. What the bitmap
-   lets through in vain finds no partner. Each edge's source is its first occurrence, by document and position.
-   Anchors with ``HOT`` occurrences or more take another way: sources by an aggregation that starts in each task, then
-   a join that Spark may split, so that no task gets all occurrences of one passage.
-3. Occurrences whose positions and sources' positions are both consecutive form one nonbranching path and compact into
-   one span; the coordinates at either end of every window on it verify it.
-4. Spans of a text remove its words. Exact copies of a text are settled by their doc_ids alone; a second bitmap of fixed
-   size keeps all but the first of them out of the steps above.
+   different texts are marked in a bitmap, sized by their count up to a bound; a full one only lets more through.
+2. Windows whose anchor is marked become edges, named by the hashes of their two nodes. Those of one occurrence of an
+   anchor travel as one row and are grouped by anchor, so equal edges meet; what the bitmap lets through in vain finds no
+   partner. Each edge's source is its first occurrence, by document and position. Anchors with ``HOT`` occurrences or more
+   take another way: sources by an aggregation that starts in each task, then a join that Spark may split, so that no task
+   gets all occurrences of one passage.
+3. The distinct repeated edges are the graph. Joins on the nodes link an edge to the one before it wherever the node
+   between them has one edge in and one out, and the sources' coordinates verify the link: one document, the next word.
+   Maximal runs of verified links are the nonbranching paths, each one row: source document, first word, edges.
+4. Occurrences along one path, at one distance from it, compact into one span of the text, whose words go. Exact copies of
+   a text are settled by their doc_ids alone; a second bitmap keeps all but the first of them out of the steps above.
 
 A null doc_id counts as greater than every other.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import column, keep, key_filter, may_hold, small_batches, text_keys, words_of
+from corpusloom.llm.common import bits_for, column, keep, key_filter, may_hold, small_batches, text_keys, words_of
 
 K = 13
 M = 5
@@ -125,7 +126,7 @@ def _anchors(h: np.ndarray, own: np.ndarray, known: dict[int, np.ndarray]) -> np
 
 def repeated_anchors(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
     """(anchor, n) of the anchors in two or more different texts. ``texts``: (text, k1, key)."""
-    shared = texts.sparkSession.sparkContext.broadcast(firsts)  # of fixed size
+    shared = texts.sparkSession.sparkContext.broadcast(firsts)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, h, own in _chunks(batches, ["k1"], shared.value):
@@ -147,71 +148,99 @@ def _starts_of_runs(anchors: np.ndarray, *others: np.ndarray) -> np.ndarray:
     return new
 
 
-def edges(texts: DataFrame, firsts: np.ndarray, marked: np.ndarray, hot: np.ndarray, of_hot: bool) -> DataFrame:
-    """(anchor, doc, k1, pos, hs): windows from ``pos`` on with one anchor and their hashes. ``texts``: (text, doc, k1, key).
+def edges(texts: DataFrame, firsts: np.ndarray, marked: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(anchor, hot, doc, k1, pos, ns): windows from ``pos`` on with one anchor, as the hashes of the nodes they pass, one
+    more than there are windows. ``texts``: (text, doc, k1, key).
 
     ``marked`` and ``hot``: bitmaps of the anchors that may come in several texts, and in very many.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((marked, hot, firsts))  # of fixed size
+    shared = texts.sparkSession.sparkContext.broadcast((marked, hot, firsts))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, h, own in _chunks(batches, ["doc", "k1"], shared.value[2]):
             known = {1: h}
             anchors = _anchors(h, own, known)
-            take = may_hold(shared.value[0], anchors) & (may_hold(shared.value[1], anchors) == of_hot)
+            take = may_hold(shared.value[0], anchors)
             own, anchors = own[take], anchors[take]
             if not len(own):
                 continue
             text = np.searchsorted(starts, own, side="right") - 1
             new = _starts_of_runs(anchors, text, own - np.arange(len(own)))  # one anchor, one text, no gap
             at = np.flatnonzero(new)
-            hashes = pa.ListArray.from_arrays(pa.array(np.append(at, len(own)).astype(np.int32)), pa.array(windows(h, K, known)[own].view(np.int64)))
+            ends = np.append(at, len(own))
+            last = ends[1:] - 1
+            passed = np.insert(own, ends[1:], own[last] + 1)  # the node after the last window of each run
+            nodes = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(windows(h, K - 1, known)[passed].view(np.int64)))
             doc, k1 = np.array(rows, np.int64).T
-            cols = [pa.array(anchors[at].view(np.int64)), pa.array(doc[text[at]]), pa.array(k1[text[at]]), pa.array((own - starts[text])[at].astype(np.int32)), hashes]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "doc", "k1", "pos", "hs"])
+            cols = [pa.array(anchors[at].view(np.int64)), pa.array(may_hold(shared.value[1], anchors[at])), pa.array(doc[text[at]]), pa.array(k1[text[at]]), pa.array((own - starts[text])[at].astype(np.int32)), nodes]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "hot", "doc", "k1", "pos", "ns"])
 
-    return texts.mapInArrow(run, "anchor long, doc long, k1 long, pos int, hs array<long>")
+    return texts.mapInArrow(run, "anchor long, hot boolean, doc long, k1 long, pos int, ns array<long>")
 
 
 def _each(rows: DataFrame) -> DataFrame:
-    return rows.select("anchor", "doc", "k1", "pos", F.posexplode("hs").alias("i", "h")).select("anchor", "h", "doc", "k1", (F.col("pos") + F.col("i")).alias("pos"))
+    """(anchor, a, b, doc, k1, pos): one row for each edge."""
+    pairs = F.arrays_zip(F.slice("ns", F.lit(1), F.size("ns") - 1).alias("a"), F.slice("ns", F.lit(2), F.size("ns") - 1).alias("b"))
+    return rows.select("anchor", "doc", "k1", "pos", F.posexplode(pairs).alias("i", "e")).select("anchor", "e.a", "e.b", "doc", "k1", (F.col("pos") + F.col("i")).alias("pos"))
 
 
 def _hits(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
-    """(k1, pos, source_doc, source_pos) of the windows that also start in a smaller document."""
+    """(k1, pos, a, b, source_doc, source_pos) of the edges that also start in a smaller document."""
     anchors = keep(repeated_anchors(texts, firsts), "anchors")
     many = anchors.where(F.col("n") >= HOT)
-    marked, hot = key_filter(anchors, "anchor"), key_filter(many, "anchor", 20)
-    dealt = _each(edges(texts, firsts, marked, hot, False).repartition("anchor"))
-    first = Window.partitionBy("anchor", "h").orderBy("doc", "pos")  # already together by anchor
-    hits = dealt.withColumns({"source_doc": F.first("doc").over(first), "source_pos": F.first("pos").over(first)}).where("doc > source_doc")
-    hits = hits.select("k1", "pos", "source_doc", "source_pos")
+    marked, hot = key_filter(anchors, "anchor", bits_for(anchors.count())), key_filter(many, "anchor", 20)
+    own = keep(edges(texts, firsts, marked, hot), "edges")
+    names = ["k1", "pos", "a", "b", "source_doc", "source_pos"]
+    first = Window.partitionBy("anchor", "a", "b").orderBy("doc", "pos")  # already together by anchor
+    dealt = _each(own.where(~F.col("hot")).repartition("anchor"))
+    hits = dealt.withColumns({"source_doc": F.first("doc").over(first), "source_pos": F.first("pos").over(first)}).where("doc > source_doc").select(names)
     if hot.any():
-        own = _each(edges(texts, firsts, marked, hot, True))
-        source = own.groupBy("anchor", "h").agg(F.min(F.struct("doc", "pos")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
-        found = own.join(source.select("anchor", "h", F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos")), ["anchor", "h"])
-        hits = hits.unionByName(found.where("doc > source_doc").select("k1", "pos", "source_doc", "source_pos"))
+        some = _each(own.where("hot"))
+        source = some.groupBy("anchor", "a", "b").agg(F.min(F.struct("doc", "pos")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
+        found = some.join(source.select("anchor", "a", "b", F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos")), ["anchor", "a", "b"])
+        hits = hits.unionByName(found.where("doc > source_doc").select(names))
     return hits
 
 
+def paths(hits: DataFrame) -> DataFrame:
+    """(source_doc, source_pos, path) of every distinct edge of ``hits``: path is the source position of the first edge of
+    its nonbranching path.
+
+    An edge continues the path of another if that one is the only edge into the node between them, it is the only one
+    out of it, and it comes one word later in the same source document. Equal edges have one source.
+    """
+    graph = hits.groupBy("a", "b").agg(F.min(F.struct("source_doc", "source_pos")).alias("s"))
+    graph = keep(graph.select("a", "b", "s.source_doc", "s.source_pos"), "graph")
+    one_in = graph.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("source_doc").alias("doc_in"), F.min("source_pos").alias("pos_in")).where("n = 1").drop("n")
+    one_out = graph.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b_out")).where("n = 1").drop("n")
+    through = one_in.join(one_out, "node")  # nodes inside paths
+    linked = graph.join(through.select(F.col("node").alias("a"), F.col("b_out").alias("b"), "doc_in", "pos_in"), ["a", "b"], "left")
+    goes_on = (F.col("doc_in") == F.col("source_doc")) & (F.col("pos_in") + 1 == F.col("source_pos"))
+    along = Window.partitionBy("source_doc").orderBy("source_pos")  # one document's edges
+    start = F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("source_pos")), ignorenulls=True).over(along)
+    return linked.select("source_doc", "source_pos", start.alias("path"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", *text_keys())
 
 
 def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k1, start, end, source_doc, source_start): words [start, end) of the text k1 repeat a text with a smaller doc_id.
+    """(k1, start, end, source_doc, path, source_start): words [start, end) of the text k1 repeat a smaller document's.
 
-    ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each is one path with one run of sources.
+    ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each lies on one path.
     """
-    key = F.xxhash64("k1", "k2", "doc").alias("key")
-    firsts = key_filter(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")).select(key), "key", 24)
-    hits = _hits(_keyed(docs).select("text", "doc", "k1", key), firsts)
-    own = rows.groupBy("k1").agg(F.min("doc").alias("first"))  # a text stands for its copy with the smallest doc_id
-    hits = hits.join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", (F.col("source_pos") - F.col("pos")).alias("shift")).distinct()
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("k1", "source_doc", "shift").orderBy("pos"))
-    paths = hits.withColumn("run", run).groupBy("k1", "source_doc", "shift", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
-    return paths.select("k1", "start", (F.col("last") + K).alias("end"), "source_doc", (F.col("start") + F.col("shift")).alias("source_start"))
+    first = keep(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")), "first-copies")
+    firsts = key_filter(first.select(F.xxhash64("k1", "k2", "doc").alias("key")), "key", bits_for(first.count()))
+    hits = keep(_hits(_keyed(docs).select("text", "doc", "k1", F.xxhash64("k1", "k2", "doc").alias("key")), firsts), "hits")
+    own = first.groupBy("k1").agg(F.min("doc").alias("first"))  # a text stands for its copy with the smallest doc_id
+    found = hits.join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", "source_pos").distinct()
+    found = found.join(paths(hits), ["source_doc", "source_pos"]).withColumn("shift", F.col("source_pos") - F.col("pos"))
+    lane = ["k1", "source_doc", "path", "shift"]
+    run = F.col("pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("pos"))
+    spans = found.withColumn("run", run).groupBy(*lane, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
+    return spans.select("k1", "start", (F.col("last") + K).alias("end"), "source_doc", "path", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
@@ -249,7 +278,7 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = keep(_document_rows(docs), "document-rows")
     spans = keep(repeated_spans(docs, rows).groupBy("k1").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    bits = key_filter(spans, "k1")
+    bits = key_filter(spans, "k1", bits_for(spans.count()))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

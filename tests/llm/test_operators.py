@@ -713,9 +713,67 @@ def test_substrings(spark, tiny, odd, empty, monkeypatch, hot):
     assert out_substrings(spark, monkeypatch, empty) == []
 
 
+def test_paths_are_nonbranching_and_consecutive(spark):
+    hits = [(1, 2, 5, 10), (2, 3, 5, 11), (3, 4, 5, 12), (3, 9, 6, 4), (4, 6, 5, 14), (6, 7, 5, 15), (8, 7, 5, 16), (7, 1, 5, 17), (1, 2, 5, 10)]
+    df = spark.createDataFrame(hits, "a long, b long, source_doc long, source_pos int")
+    got = sorted(map(tuple, substrings.paths(df).collect()))
+    # 3 has two edges out, 4 to 6 comes two words later, 7 has two edges in; 7 to 1 is followed by 1 to 2, but elsewhere
+    assert got == [(5, 10, 10), (5, 11, 10), (5, 12, 12), (5, 14, 14), (5, 15, 14), (5, 16, 16), (5, 17, 17), (6, 4, 4)]
+
+
+def test_spans_compact_whole_passages(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a b c {passage} d e f", "s"), (2, f"x y {passage} z", "s"), (3, f"{passage} {passage}", "s")]
+    df = frame(spark, rows)
+    spans = substrings.repeated_spans(df, common.keep(substrings._document_rows(df), "rows"))
+    keys = {r["k1"]: r["doc_id"] for r in df.select("doc_id", *common.text_keys()).collect()}
+    got = sorted((keys[r["k1"]], r["start"], r["end"], r["source_doc"], r["source_start"]) for r in spans.collect())
+    assert got == [(2, 2, 62, 1, 3), (3, 0, 60, 1, 3), (3, 60, 120, 1, 3)]
+
+
 # --- 10
 
 
+def test_toxicity_trains_as_a_dense_network_does(monkeypatch):
+    for name, value in (("BUCKETS", 256), ("DIM", 4), ("LEAST_TEXTS", 3), ("STEPS", 30)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["ab", "cde", "fgh", "xyzzy" if i % 3 else "q"], 12)) for i in range(70)] + ["only here"]
+    y = [int(i % 3 == 0) for i in range(71)]
+    got = toxicity.train(texts, y, 0.1, steps=30)
+    blank = 71 // toxicity.BLANKS
+    x = np.zeros((71 + blank, 256))
+    for i, t in enumerate(texts):
+        for w, v in toxicity.weighted(t.split()).items():
+            for b in toxicity.subwords(w):
+                x[i, b] += v * toxicity.GAIN / len(toxicity.subwords(w))
+    x[:, (x > 0).sum(0) < 3] = 0
+    want = np.eye(2)[y + [0] * blank]
+    rng = np.random.default_rng(7)
+    e, w, c = rng.normal(0, 0.1, (256, 4)), rng.normal(0, 0.5, (4, 2)), np.zeros(2)
+    e[(x > 0).sum(0) == 0] = 0
+    se, sw, sc = np.full((256, 1), 1e-3), np.full((4, 2), 1e-3), np.full(2, 1e-3)
+    order, epochs = np.arange(len(x)), 30 * 32 // len(x)
+    for epoch in range(epochs):
+        rng.shuffle(order)
+        rate = 0.3 * (1 - epoch / epochs)
+        for lo in range(0, len(x), 32):
+            own = x[order[lo : lo + 32]]
+            z = own @ e @ w + c
+            p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            d = (p - want[order[lo : lo + 32]]) / len(own)
+            used = (own > 0).any(0)[:, None]
+            dw, de = (own @ e).T @ d, used * (own.T @ d @ w.T + toxicity.DECAY * e)
+            se += (de**2).mean(1, keepdims=True)
+            sw += dw**2
+            sc += d.sum(0) ** 2
+            e = e - rate * de / np.sqrt(se)
+            w = w - 0.3 * rate * dw / np.sqrt(sw)
+            c = c - rate * d.sum(0) / np.sqrt(sc)
+    part = e @ (w[:, 1] - w[:, 0]) * toxicity.GAIN
+    assert np.allclose(got.part, part, rtol=1e-2, atol=1e-2 * np.abs(part).max())
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(300)]
