@@ -254,7 +254,7 @@ def test_pii_patterns(spark, tiny):
 
 
 def test_pii_terms_and_odd_rows(spark, odd, empty):
-    texts = [f"filler{i} zwölf words before Moriarty writes from evil@example.com often about item{i}" for i in range(6)]
+    texts = [f"filler{i} zwölf words before Moriarty writes{i} from evil@example.com often about item{i}" for i in range(6)]
     texts += [f"someone{i} writes from other{i}@example.com often" for i in range(30)] + ["Moriarty alone is left in peace"]
     df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
@@ -270,33 +270,66 @@ def test_pii_terms_and_odd_rows(spark, odd, empty):
 
 
 def brute_added(texts, support=3, generalise=0.7, remove=0.9):
-    """{text: [(start, end, gone)]} by the definition, over all distinct texts."""
-    own = {}
+    """{text: [(start, end, gone, kind)]} by the definition, over all distinct texts."""
+    own, kinds = {}, {}
     for t in set(texts):
         spans = pii.base_spans(t)
         words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        own[t] = ({pii.entity(t, s) for s in spans}, words)
+        own[t] = ({pii.entity(t, s): (t[: s[0]].lower().split()[-2:], t[s[2] :].lower().split()[:2]) for s in reversed(spans)}, words)
+        kinds[t] = {pii.KINDS[k] for _, k, _ in spans} | ({"personal"} if spans else set())
     c = collections.Counter(w for _, words in own.values() for w in {x[0] for x in words})
     ce = collections.Counter(e for es, _ in own.values() for e in es)
     both = collections.Counter((e, w) for es, words in own.values() for e in es for w in {x[0] for x in words})
-    told = {p: math.log2(len(own) * k / (ce[p[0]] * c[p[1]])) / math.log2(len(own) / ce[p[0]]) for p, k in both.items() if k >= support and ce[p[0]] < len(own)}
+    contexts = collections.defaultdict(set)
+    for es, words in own.values():
+        for e, around in es.items():
+            for w in {x[0] for x in words}:
+                contexts[e, w].add(str(around))
+    told = {p: math.log2(len(own) * k / (ce[p[0]] * c[p[1]])) / math.log2(len(own) / ce[p[0]]) for p, k in both.items() if len(contexts[p]) >= support and ce[p[0]] < len(own)}
+    share = {k: n / len(own) for k, n in collections.Counter(k for ks in kinds.values() for k in ks).items()}
+    with_kind = collections.Counter((k, w) for t, (_, words) in own.items() for k in kinds[t] for w in {x[0] for x in words})
+    for (k, w), n in with_kind.items():
+        if n >= support and share[k] < 1:
+            told[k, w] = math.log2((n + pii.SMOOTH * share[k]) / (c[w] + pii.SMOOTH) / share[k]) / math.log2(1 / share[k])
     out = {}
     for t, (es, words) in own.items():
-        best = [(a, b, max([told.get((e, w), 0) for e in es], default=0)) for w, a, b in words]
-        if hit := [(a, b, d >= remove) for a, b, d in best if d >= generalise - 1e-12]:
+        best = [(a, b, max([(told.get((e, w), 0), e.split(":")[0]) for e in {*es, *kinds[t]}], default=(0, ""))) for w, a, b in words]
+        if hit := [(a, b, d >= remove, k) for a, b, (d, k) in best if d >= generalise - 1e-12]:
             out[t] = hit
     return out
 
 
+def test_pii_kinds_are_disclosed_by_their_labels(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("aeiourstln"), 6)) for _ in range(400)]
+    texts = []
+    for i in range(600):
+        w = list(rng.choice(words, 30))
+        if i < 60:
+            w[3:3] = ["reachme" if i % 2 else "callme", f"x{i}@mail{i}.example.com" if i % 2 else f"+49 30 {1000000 + i}"]
+        elif i < 62:
+            w[3:3] = ["reachme"]
+        texts.append(" ".join(w))
+    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[1] == re.sub(r"reachme \S+", "[EMAIL_TERM] [EMAIL]", texts[1]) and clean[60] == texts[60]
+    assert clean[0] == re.sub(r"callme \S+ \S+ \S+", "[PHONE_TERM] [PHONE]", texts[0])
+    keys = {tuple(r)[1:]: r["text"] for r in df.select("text", *common.text_keys()).collect()}
+    assert {keys[r["k1"], r["k2"]]: [tuple(a) for a in r["added"]] for r in pii.added_spans(df).collect()} == brute_added(texts)
+
+
 def test_pii_disclosure_is_over_the_whole_corpus(spark, tiny, monkeypatch):
     far = " ".join(f"w{i}" for i in range(300))
-    texts = [f"Call office{i} footer at boss@corp.com {far} signed Moriarty item{i}" for i in range(4)]
+    texts = [f"Call office{i} footer at{i} boss@corp.com {far} signed Moriarty item{i}" for i in range(4)]
     texts += [f"footer item{i} office of nobody, page {i}" for i in range(80)]  # ordinary words, without any entity
     texts += texts[:3] * 5 + ["Moriarty is here, call"]
     df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(900, None, "s")])
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert "office0 footer at [EMAIL]" in clean[0] and "Moriarty" not in clean[0] and "item0" in clean[0]
+    assert "office0 footer at0 [EMAIL]" in clean[0] and "Moriarty" not in clean[0] and "item0" in clean[0]
     assert clean[4] == texts[4] and clean[len(texts) - 1] == texts[-1] and clean[900] is None
+    footers = [f"{far} page{i} of it. Reach Holmes at home via mail sherlock@corp.com or call Watson instead" for i in range(9)] + texts[4:84]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, [(i, t, "s") for i, t in enumerate(footers)])).collect()}
+    assert clean[0] == footers[0].replace("sherlock@corp.com", "[EMAIL]")
 
     monkeypatch.setattr(pii, "HELD", 50)
     rng = np.random.default_rng(5)
