@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import column, keep, small_batches, text_keys, utf8
 
-VOCAB, HEAD, SUFFIXES, CLASSES = 50_000, 500, 500, 48
+VOCAB, HEAD, SUFFIXES, CLASSES = 50_000, 300, 300, 48
 SUFFIX = 3
 #: Nats a token that a sweep must gain for another to follow, and how many follow at most.
 GAIN, SWEEPS = 0.01, 8
@@ -131,22 +132,50 @@ class Items:
         return place.astype(np.int64)
 
 
+#: Items in a row of the table of items, at least.
+ROW = 1 << 14
+
+
+def item_table(texts: DataFrame, items: Items) -> DataFrame:
+    """(items: binary): the items of all texts, some texts a row; each text ends with the end. Kept, two bytes
+    an item where they suffice, so that texts are cut into words once."""
+    kind = np.uint16 if items.size <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, held = items.finder(), []
+        for batch in batches:
+            rows = []
+            for text in column(batch, "text").to_pylist():
+                held += map(find, tokens_of(text))
+                held.append(END)
+                if len(held) > ROW:
+                    rows.append(np.array(held, kind).tobytes())
+                    held = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["items"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(held, kind).tobytes()], pa.binary())], ["items"])
+
+    return keep(texts.mapInArrow(run, "items binary"), "items")
+
+
 def _streams(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[np.ndarray]:
-    """The items of all texts, some texts at a time; each starts after and ends with the end."""
-    find = items.finder()
-    stream: list[int] = [END]
+    """The rows of ``item_table``, some at a time, as one sequence that begins and ends with the end."""
+    kind = np.uint16 if items.size <= 1 << 16 else np.uint32
+    held, n = [np.array([END], kind)], 0
     for batch in batches:
-        for text in column(batch, "text").to_pylist():
-            stream += map(find, tokens_of(text))
-            stream.append(END)
-            if len(stream) > 1 << 20:
-                yield np.array(stream, np.int64)
-                stream = [END]
-    yield np.array(stream, np.int64)
+        for row in column(batch, "items").to_pylist():
+            held.append(np.frombuffer(row, kind))
+            n += len(held[-1])
+            if n > 1 << 20:
+                yield np.concatenate(held).astype(np.int64)
+                held, n = [held[0]], 0
+    if n:
+        yield np.concatenate(held).astype(np.int64)
 
 
-def _cells(texts: DataFrame, size: int, count) -> np.ndarray:
-    """Sums over all ``texts`` of ``count(stream) -> cells``, below ``size``; tasks sum first."""
+def _cells(table: DataFrame, size: int, count) -> np.ndarray:
+    """Sums over all rows of ``table`` of ``count(batches) -> cells``, below ``size``; tasks sum first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)
@@ -157,14 +186,14 @@ def _cells(texts: DataFrame, size: int, count) -> np.ndarray:
             own = cells[at : at + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # ``size`` rows at most
+    rows = table.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # ``size`` rows at most
     out = np.zeros(size, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def item_bigrams(texts: DataFrame, items: Items, place: np.ndarray) -> np.ndarray:
-    """Counts of bigrams of the items' places over all ``texts``."""
+def item_bigrams(table: DataFrame, items: Items, place: np.ndarray) -> np.ndarray:
+    """Counts of bigrams of the items' places over the whole ``item_table``; each text starts after and ends with the end."""
     size = int(place.max()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -172,10 +201,10 @@ def item_bigrams(texts: DataFrame, items: Items, place: np.ndarray) -> np.ndarra
             p = place[s]
             yield p[:-1] * size + p[1:]
 
-    return _cells(texts, size * size, count).reshape(size, size)
+    return _cells(table, size * size, count).reshape(size, size)
 
 
-def neighbours(texts: DataFrame, items: Items, own: np.ndarray, head: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(table: DataFrame, items: Items, own: np.ndarray, head: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Class bigrams [k, k], and for each word of the vocabulary after the ``head`` first the classes before and after it [, 2k]."""
     low, high = FIRST + min(head, len(items.words)), items.groups
 
@@ -188,7 +217,7 @@ def neighbours(texts: DataFrame, items: Items, own: np.ndarray, head: int, k: in
             right = k * k + (before[first] - low) * 2 * k + k + c[1:][first]
             yield np.concatenate((c[:-1] * k + c[1:], left, right))
 
-    cells = _cells(texts, k * k + (high - low) * 2 * k, count)
+    cells = _cells(table, k * k + (high - low) * 2 * k, count)
     return cells[: k * k].reshape(k, k), cells[k * k :].reshape(high - low, 2 * k)
 
 
@@ -262,15 +291,15 @@ def best_classes(pairs: np.ndarray, around: np.ndarray, own: np.ndarray) -> np.n
     return np.where(worth[here, to] > worth[here, own] + 1e-9, to, own)
 
 
-def cluster(texts: DataFrame, items: Items, head: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each item, and the class bigrams of all ``texts``."""
+def cluster(table: DataFrame, items: Items, head: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item, and the class bigrams of the whole ``item_table``."""
     k = classes + 1
     place = items.head(head)
-    own = exchange(item_bigrams(texts, items, place), classes)[place]
+    own = exchange(item_bigrams(table, items, place), classes)[place]
     low, high = FIRST + min(head, len(items.words)), items.groups
     best, best_own, best_pairs = -np.inf, own, None
     for sweep in range(SWEEPS + 1):
-        pairs, around = neighbours(texts, items, own, head, k)
+        pairs, around = neighbours(table, items, own, head, k)
         now = likelihood(pairs)
         more = now - best
         if more > 0:
@@ -394,7 +423,7 @@ def fit(docs: DataFrame, vocab: int = VOCAB, head: int = HEAD, suffixes: int = S
     items = Items({w: FIRST + i for i, (w, _) in enumerate(top)}, {bytes(r["s"]): FIRST + len(top) + i for i, r in enumerate(largest)})
     item_types = np.array([0] + [1] * len(top) + [r["t"] for r in largest] + [0], float)
     item_types[-1] = types - item_types.sum()
-    own, pairs = cluster(texts, items, head, classes)
+    own, pairs = cluster(item_table(texts, items), items, head, classes)
     k = classes + 1
     into, class_types = pairs.sum(0).astype(float), np.bincount(own, item_types, k)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -412,16 +441,14 @@ def fit(docs: DataFrame, vocab: int = VOCAB, head: int = HEAD, suffixes: int = S
     return Model(items, own, moves, unseen, table, discount, int(n + ends), int(types + (ends > 0)), ends, of), counts
 
 
-PARTS = (
-    "doc_id long, held_out boolean, k1 long, k2 long, n_tokens long, n_known long, base double, score double, "
-    "sent int, rest array<struct<word: binary, n: long, move: double, unseen: double>>"
-)
+PARTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rid long, rest array<struct<word: binary, n: int, move: float, unseen: float>>"
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
     """What each text's words of the vocabulary and its end give, and its other words, to be joined with their counts.
 
-    An other word comes with what its class moves give if it was seen, and what its spelling gives if not.
+    An other word comes with what its class moves give if it was seen, and what its spelling gives if not. Equal texts of a
+    task share one ``rid``, and the first of them has the words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -431,10 +458,11 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
         of_base = np.log10(m.counts + 1.0)
         of_score = np.log10(np.maximum(m.counts - m.discount, 1e-300))
         of_score[END] = 0.0
-        seen: set[tuple[int, int]] = set()
+        task = TaskContext.get().partitionId() << 40
+        seen: dict[tuple[int, int], int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                batch, rows, others = whole.slice(at, 500), [], []
+                batch, rows, others, steps, news, sizes = whole.slice(at, 500), [], [], [], [], []
                 for doc, text, held, k1, k2 in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "held_out", "k1", "k2")), strict=True):
                     words = tokens_of(text)
                     items = np.fromiter(map(find, words), np.int64, len(words))
@@ -445,55 +473,63 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
                     known = items < groups
                     own = items[known]
                     base, score = float(of_base[own].sum()), float((step[known] + of_score[own]).sum())
-                    first, rest = (k1, k2) not in seen, {}
-                    if first:
-                        for i in np.flatnonzero(~known).tolist():
-                            x = rest.setdefault(words[i], [0, 0.0, 0.0])
-                            x[0] += 1
-                            x[1] += step[i]
-                            x[2] += m.unseen[before[i]]
-                        seen.add((k1, k2))
-                    others.append(rest)
-                    rows.append((doc, held, k1, k2, len(items), len(own) - (not m.ends), base, score, int(first)))
-                spelt = spelt_log10(m.spelling, [w for rest in others for w in rest])
-                sizes = np.cumsum([0] + [len(rest) for rest in others]).astype(np.int32)
-                flat = [(w, *x) for rest in others for w, x in rest.items()]
-                word, n, move, unseen = zip(*flat, strict=True) if flat else ((), (), (), ())
-                n = np.array(n, np.int64)
-                structs = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(n), pa.array(move, pa.float64()), pa.array(np.array(unseen, float) + n * spelt)], ["word", "n", "move", "unseen"])
+                    rid = seen.get((k1, k2))
+                    sizes.append(0)
+                    if rid is None:
+                        rid = seen[k1, k2] = len(seen)
+                        rest = np.flatnonzero(~known)
+                        others += [words[i] for i in rest.tolist()]
+                        steps.append(step[rest])
+                        news.append(m.unseen[before[rest]])
+                        sizes[-1] = len(rest)
+                    rows.append((doc, held, len(items), len(own) - (not m.ends), base, score, task + rid))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
-                names = ["doc_id", "held_out", "k1", "k2", "n_tokens", "n_known", "base", "score", "sent", "rest"]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(sizes), structs)], names)
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), _rest(others, steps, news, sizes, m.spelling)], [f.split()[0] for f in PARTS.split(", ", 7)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), *text_keys())
     return rows.mapInArrow(run, PARTS)
 
 
+def _rest(words: list[bytes], steps: list[np.ndarray], news: list[np.ndarray], sizes: list[int], spelling: np.ndarray) -> pa.ListArray:
+    """The distinct other words of each text, with their number and the sums of what they give, seen or not."""
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    types = len(coded.dictionary)
+    if not types:
+        return pa.array([[] for _ in sizes], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("move", pa.float32()), ("unseen", pa.float32())])))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    keys, which, n = np.unique(row * types + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
+    spelt = spelt_log10(spelling, coded.dictionary.to_pylist())
+    move = np.bincount(which, np.concatenate(steps), len(keys))
+    unseen = np.bincount(which, np.concatenate(news), len(keys)) + n * spelt[keys % types]
+    cols = [coded.dictionary.take(pa.array(keys % types)), pa.array(n.astype(np.int32)), pa.array(move.astype(np.float32)), pa.array(unseen.astype(np.float32))]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(keys // types, minlength=len(sizes)))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(cols, ["word", "n", "move", "unseen"]))
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
-    A null or empty text is the end alone; a null doc_id is in the training fold; equal texts score alike. An empty table
-    gives an empty table. Without training texts every base score is 0, and words are scored by their spelling alone.
+    A null or empty text is the end alone; a null doc_id is in the training fold; equal texts score alike, but for the
+    rounding of sums. An empty table gives an empty table. Without training texts every base score is 0, and words are
+    scored by their spelling alone.
     """
     parts = keep(_parts(docs, model), "lm-parts")
-    rest = parts.where(F.size("rest") > 0).select("k1", "k2", F.explode("rest").alias("r")).select("k1", "k2", "r.word", F.col("r.n").alias("m"), "r.move", "r.unseen")
+    rest = parts.where(F.size("rest") > 0).select("rid", F.explode("rest").alias("r")).select("rid", "r.word", F.col("r.n").alias("m"), "r.move", "r.unseen")
     c = F.coalesce(F.col("n"), F.lit(0))
     joined = rest.join(counts, "word", "left")
-    more = joined.groupBy("k1", "k2").agg(
+    sums = joined.groupBy("rid").agg(
         F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("known2"),
         F.sum(F.col("m") * F.log10(c + 1)).alias("base2"),
         F.sum(F.when(c > 0, F.col("move") + F.col("m") * F.log10(c - F.lit(model.discount))).otherwise(F.col("unseen"))).alias("score2"),
     )
-    times = parts.groupBy("k1", "k2").agg(F.sum("sent").alias("times"))  # tasks that sent a text's other words
-    sums = times.join(more, ["k1", "k2"]).select("k1", "k2", *[(F.col(x) / F.col("times")).alias(x) for x in ("known2", "base2", "score2")])
-    out = parts.drop("rest").join(sums, ["k1", "k2"], "left")
+    out = parts.drop("rest").join(sums, "rid", "left")
     whole = float(np.log10(model.train_tokens + model.types + 1))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce(F.round("known2"), F.lit(0)).cast("long")).alias("n_known"),
+        (F.col("n_known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base2", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
         (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),

@@ -472,13 +472,13 @@ def test_clusters_of_the_vocabulary_fit_better(spark, tiny):
     texts = docs_of(spark, tiny).select("text")
     counts = sorted(((bytes(r["word"]), r["n"]) for r in lm.word_counts(texts).collect()), key=lambda x: (-x[1], x[0]))[:300]
     items = lm.Items({w: 1 + i for i, (w, _) in enumerate(counts)}, {b"on.": 301, b"ing": 302})
-    place = items.head(40)
-    start = lm.exchange(lm.item_bigrams(texts, items, place), 6)[place]
-    before, around = lm.neighbours(texts, items, start, 40, 7)
-    own, pairs = lm.cluster(texts, items, 40, 6)
+    place, table = items.head(40), lm.item_table(texts, items)
+    start = lm.exchange(lm.item_bigrams(table, items, place), 6)[place]
+    before, around = lm.neighbours(table, items, start, 40, 7)
+    own, pairs = lm.cluster(table, items, 40, 6)
     assert lm.likelihood(pairs) > lm.likelihood(before) and (own[:41] == start[:41]).all()
     assert around.sum() == 2 * sum(n for _, n in counts[40:]) and pairs.sum() == before.sum()
-    assert (lm.neighbours(texts, items, own, 40, 7)[0] == pairs).all()
+    assert (lm.neighbours(table, items, own, 40, 7)[0] == pairs).all()
 
 
 def test_exchange_finds_two_languages():
@@ -761,7 +761,7 @@ def test_spans_compact_whole_passages(spark):
     spans = substrings.repeated_spans(df, common.keep(substrings._document_rows(df), "rows"))
     keys = {r["k1"]: r["doc_id"] for r in df.select("doc_id", *common.text_keys()).collect()}
     got = sorted((keys[r["k1"]], r["start"], r["end"], r["source_doc"], r["source_start"]) for r in spans.collect())
-    assert got == [(2, 2, 62, 1, 3), (3, 0, 60, 1, 3), (3, 60, 120, 1, 3)]
+    assert got == [(2, 2, 62, 1, 3), (3, 0, 60, 1, 3), (3, 60, 120, 1, 3)], got
 
 
 # --- 10
