@@ -185,40 +185,43 @@ def _each(rows: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
-    """(k1, pos, a, b, source_doc, source_pos) of the edges that also start in a smaller document."""
+    """(k1, pos, source_doc, source_pos, a, b): edges that also start in a smaller document, a and b null, and their sources,
+    one row for each distinct edge, with its nodes a and b."""
     anchors = keep(repeated_anchors(texts, firsts), "anchors")
     many = anchors.where(F.col("n") >= HOT)
     marked, hot = key_filter(anchors, "anchor", bits_for(anchors.count())), key_filter(many, "anchor", 20)
     own = keep(edges(texts, firsts, marked, hot), "edges")
-    names = ["k1", "pos", "a", "b", "source_doc", "source_pos"]
-    first = Window.partitionBy("anchor", "a", "b").orderBy("doc", "pos")  # already together by anchor
-    dealt = _each(own.where(~F.col("hot")).repartition("anchor"))
-    hits = dealt.withColumns({"source_doc": F.first("doc").over(first), "source_pos": F.first("pos").over(first)}).where("doc > source_doc").select(names)
+    same = Window.partitionBy("anchor", "a", "b").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # HOT rows at most
+    dealt = _each(own.where(~F.col("hot")).repartition("anchor")).withColumns({"source_doc": F.first("doc").over(same), "source_pos": F.first("pos").over(same), "top": F.last("doc").over(same)})
+    hit, source = F.col("doc") > F.col("source_doc"), (F.col("doc") == F.col("source_doc")) & (F.col("pos") == F.col("source_pos")) & (F.col("top") > F.col("doc"))
+    node = {n: F.when(~hit, F.col(n)) for n in ("a", "b")}
+    names = ["k1", "pos", "source_doc", "source_pos", "a", "b"]
+    hits = dealt.where(hit | source).withColumns(node).select(names)
     if hot.any():
         some = _each(own.where("hot"))
-        source = some.groupBy("anchor", "a", "b").agg(F.min(F.struct("doc", "pos")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
-        found = some.join(source.select("anchor", "a", "b", F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos")), ["anchor", "a", "b"])
-        hits = hits.unionByName(found.where("doc > source_doc").select(names))
+        first = some.groupBy("anchor", "a", "b").agg(F.min(F.struct("doc", "pos", "k1")).alias("s"), F.max("doc").alias("top")).where("s.doc < top")
+        first = first.select("anchor", "a", "b", "s.k1", F.col("s.pos").alias("pos"), F.col("s.doc").alias("source_doc"), F.col("s.pos").alias("source_pos"))
+        found = some.join(first.drop("k1", "pos"), ["anchor", "a", "b"]).where("doc > source_doc").withColumns({n: F.lit(None).cast("long") for n in ("a", "b")})
+        hits = hits.unionByName(found.select(names)).unionByName(first.select(names))
     return hits
 
 
-def paths(hits: DataFrame) -> DataFrame:
-    """(source_doc, source_pos, path) of every distinct edge of ``hits``: path is the source position of the first edge of
-    its nonbranching path.
+def paths(graph: DataFrame) -> DataFrame:
+    """(source_doc, source_pos, path) of every distinct edge of ``graph`` (a, b, source_doc, source_pos): path is the source
+    position of the first edge of its nonbranching path.
 
     An edge continues the path of another if that one is the only edge into the node between them, it is the only one
     out of it, and it comes one word later in the same source document. Equal edges have one source.
     """
-    graph = hits.groupBy("a", "b").agg(F.min(F.struct("source_doc", "source_pos")).alias("s"))
-    graph = keep(graph.select("a", "b", "s.source_doc", "s.source_pos"), "graph")
+    graph = keep(graph.distinct(), "graph")
     one_in = graph.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("source_doc").alias("doc_in"), F.min("source_pos").alias("pos_in")).where("n = 1").drop("n")
-    one_out = graph.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b_out")).where("n = 1").drop("n")
-    through = one_in.join(one_out, "node")  # nodes inside paths
-    linked = graph.join(through.select(F.col("node").alias("a"), F.col("b_out").alias("b"), "doc_in", "pos_in"), ["a", "b"], "left")
-    goes_on = (F.col("doc_in") == F.col("source_doc")) & (F.col("pos_in") + 1 == F.col("source_pos"))
+    one_out = graph.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("source_doc").alias("source_doc"), F.min("source_pos").alias("source_pos")).where("n = 1").drop("n")
+    # links at nodes inside paths: an edge and the one before it
+    linked = one_in.join(one_out, "node").where((F.col("doc_in") == F.col("source_doc")) & (F.col("pos_in") + 1 == F.col("source_pos"))).select("source_doc", "source_pos", F.lit(True).alias("goes_on"))
+    places = graph.select("source_doc", "source_pos").join(linked, ["source_doc", "source_pos"], "left")
     along = Window.partitionBy("source_doc").orderBy("source_pos")  # one document's edges
-    start = F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("source_pos")), ignorenulls=True).over(along)
-    return linked.select("source_doc", "source_pos", start.alias("path"))
+    start = F.last(F.when(F.col("goes_on").isNull(), F.col("source_pos")), ignorenulls=True).over(along)
+    return places.select("source_doc", "source_pos", start.alias("path"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -227,20 +230,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k1, start, end, source_doc, path, source_start): words [start, end) of the text k1 repeat a smaller document's.
+    """(k1, start, end, source_doc, source_start): words [start, end) of the text k1 repeat a smaller document's.
 
-    ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each lies on one path.
+    ``rows``: (doc, k1, k2) of every document, kept. Spans may overlap: each lies on one path, or on two that meet.
     """
     first = keep(rows.groupBy("k1", "k2").agg(F.min("doc").alias("doc")), "first-copies")
     firsts = key_filter(first.select(F.xxhash64("k1", "k2", "doc").alias("key")), "key", bits_for(first.count()))
     hits = keep(_hits(_keyed(docs).select("text", "doc", "k1", F.xxhash64("k1", "k2", "doc").alias("key")), firsts), "hits")
     own = first.groupBy("k1").agg(F.min("doc").alias("first"))  # a text stands for its copy with the smallest doc_id
-    found = hits.join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", "source_pos").distinct()
-    found = found.join(paths(hits), ["source_doc", "source_pos"]).withColumn("shift", F.col("source_pos") - F.col("pos"))
-    lane = ["k1", "source_doc", "path", "shift"]
+    found = hits.where("a is null").join(own, "k1").where("source_doc < first").select("k1", "pos", "source_doc", (F.col("source_pos") - F.col("pos")).alias("shift")).distinct()
+    lane = ["k1", "source_doc", "shift"]
     run = F.col("pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("pos"))
-    spans = found.withColumn("run", run).groupBy(*lane, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
-    return spans.select("k1", "start", (F.col("last") + K).alias("end"), "source_doc", "path", (F.col("start") + F.col("shift")).alias("source_start"))
+    runs = found.withColumn("run", run).groupBy(*lane, "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    # a run of occurrences whose sources are consecutive too is cut where a path ends
+    starts = paths(hits.where("a is not null").select("a", "b", "source_doc", "source_pos")).where("source_pos = path")
+    starts = starts.groupBy("source_doc").agg(F.array_sort(F.collect_list("path")).alias("starts"))  # of one document
+    cuts = F.filter(F.transform("starts", lambda x: x - F.col("shift")), lambda x: (x > F.col("low")) & (x <= F.col("high")))
+    pieces = runs.join(starts, "source_doc").withColumn("cuts", cuts)
+    pieces = pieces.select("k1", "source_doc", "shift", "high", F.concat(F.array("low"), "cuts").alias("lows"))
+    pieces = pieces.select("k1", "source_doc", "shift", F.explode(F.arrays_zip(F.col("lows").alias("low"), F.concat(F.transform(F.slice("lows", F.lit(2), F.size("lows")), lambda x: x - 1), F.array("high")).alias("high"))).alias("p"))
+    return pieces.select("k1", F.col("p.low").alias("start"), (F.col("p.high") + K).alias("end"), "source_doc", (F.col("p.low") + F.col("shift")).alias("source_start"))
 
 
 def _covered(n: int, spans: list[dict]) -> np.ndarray:
