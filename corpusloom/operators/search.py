@@ -60,13 +60,30 @@ def mean_pool(hidden: Column, mask: Column, dims: int) -> Column:
     return F.when(F.size(used) > 0, F.transform(total, lambda x: x / F.size(used))).otherwise(F.array_repeat(F.lit(0.0), dims))
 
 
-def top_k(index: DataFrame, query: DataFrame, k: int, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """The k rows of ``index`` nearest to the single vector of ``query`` (column ``query_vector``), by cosine, ties by key.
+#: Queries of one search at most; more are to be handed over in blocks.
+MAX_QUERIES = 10_000
 
-    The query is one row and is broadcast; each task keeps its own k best.
+
+def checked_queries(queries: DataFrame) -> DataFrame:
+    """``queries`` for broadcast; an error if there are more than ``MAX_QUERIES``."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
+    return F.broadcast(queries)
+
+
+def best_of_each(scored: DataFrame, k: int, key: str, score: Column | None = None) -> DataFrame:
+    """The k best rows of each query_id, ties (to nine digits) by key; tasks limit their own rows first."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("score") if score is None else score, 9)), key)
+    return scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "id") -> DataFrame:
+    """The k rows of ``index`` nearest to each of ``queries`` (query_id, query_vector), by cosine, ties by key.
+
+    The queries are a stated set of checked size and are broadcast; each task keeps its own k best of each.
     """
-    scored = index.crossJoin(F.broadcast(query.limit(1))).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    scored = index.crossJoin(checked_queries(queries)).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
+    return best_of_each(scored, k, key)
 
 
 def softmax_top_k(logits: Column, k: int) -> Column:
@@ -117,11 +134,11 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(query_id, key, score) by Okapi BM25 of ``queries`` (query_id, query) over ``docs``.
+    """(query_id, key, score) by Okapi BM25 of ``queries`` (query_id, query), whole texts, over ``docs``.
 
     Only query words are counted: the words of the queries filter the documents' words before anything is shuffled.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.words(F.col("query")))).alias("token"))
+    asked = checked_queries(queries).select("query_id", F.explode(F.array_distinct(X.words(F.col("query")))).alias("token"))
     own = docs.select(key, X.words(F.col(text)).alias("__w"))
     shape = docs.select(X.count(F.lower(F.col(text)), WORD_PATTERN).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
     hits = own.select(key, F.size("__w").alias("size"), F.explode("__w").alias("token")).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
@@ -145,12 +162,12 @@ def keyword_share(score: Column) -> Column:
 
 
 def hybrid(candidates: DataFrame, k: int, semantic_weight: float = 0.6, keyword_weight: float = 0.4, key: str = "id") -> DataFrame:
-    """Top k of (key, semantic_score, keyword_raw_score): 0.6 semantic + 0.4 normalised keyword by default. Rows are
-    matched by key, so that candidates without content can't shift the others."""
-    best = candidates.agg(F.max("keyword_raw_score").alias("__best"))
-    c = candidates.crossJoin(F.broadcast(best))  # one row
+    """Top k of each query of (query_id, key, semantic_score, keyword_raw_score): 0.6 semantic + 0.4 normalised keyword by
+    default. Rows are matched by key, so that candidates without content can't shift the others."""
+    best = candidates.groupBy("query_id").agg(F.max("keyword_raw_score").alias("__best"))
+    c = candidates.join(F.broadcast(best), "query_id")  # a row for each query
     c = c.withColumn("keyword_score", F.when(F.col("__best") > 0, F.col("keyword_raw_score") / F.col("__best")).otherwise(0.0)).drop("__best")
-    return c.withColumn("score", semantic_weight * F.col("semantic_score") + keyword_weight * F.col("keyword_score")).orderBy(F.desc("score"), key).limit(k)
+    return best_of_each(c.withColumn("score", semantic_weight * F.col("semantic_score") + keyword_weight * F.col("keyword_score")), k, key)
 
 
 def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
@@ -176,35 +193,43 @@ def hashed_vector(text: Column, dims: int = 64) -> Column:
     return let(hashes, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(own, lambda h: h == d)).cast("float")))
 
 
-def keyphrases(docs: DataFrame, key: str, top_n: int = 5, candidates: int = 30, diversity: float = 0.5, text: str = "text") -> DataFrame:
-    """(key, rank, phrase, score): candidate n-grams by cosine to the document, re-ranked by maximal marginal relevance.
+class HashedBags:
+    """Counts of words by hash, where no neural model is given."""
 
-    Maximal marginal relevance is iterative; it runs on the ``candidates`` best phrases of a document, in Arrow batches.
-    """
+    def encode(self, texts: list[str], dims: int = 256) -> np.ndarray:
+        import zlib
+
+        out = np.zeros((len(texts), dims))
+        for v, text in zip(out, texts, strict=True):
+            for w in text.lower().split():
+                v[zlib.crc32(w.encode()) % dims] += 1
+        return out
 
-    @F.pandas_udf("array<struct<rank:int,phrase:string,score:double>>")
-    def rank(texts: pd.Series, phrases: pd.Series) -> pd.Series:
-        return pd.Series([mmr(t or "", list(p) if p is not None else [], top_n, candidates, diversity) for t, p in zip(texts, phrases, strict=True)])
 
-    tokens = X.words(F.col(text))
-    return docs.select(key, F.explode(rank(F.col(text), ngrams(tokens))).alias("r")).select(key, "r.*")
+def keyphrases(docs: DataFrame, key: str, top_n: int = 5, candidates: int = 30, diversity: float = 0.5, text: str = "text", model_factory=HashedBags) -> DataFrame:
+    """(key, rank, phrase, score): candidate n-grams by cosine to the document, re-ranked by maximal marginal relevance.
 
+    Vectors come from ``model_factory()``, called once a worker, as in ``embedder``. Maximal marginal relevance is
+    iterative; it runs on the ``candidates`` best phrases of a document, in Arrow batches. A text without words has none.
+    """
 
-def _bag(text: str, dims: int = 256) -> np.ndarray:
-    import zlib
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_factory()
+        for batch in batches:
+            rows = [(k, r["rank"], r["phrase"], r["score"]) for k, t, g in batch.itertuples(index=False) for r in mmr(t or "", list(g) if g is not None else [], top_n, candidates, diversity, model)]
+            yield pd.DataFrame(rows, columns=[key, "rank", "phrase", "score"])
 
-    v = np.zeros(dims)
-    for w in text.lower().split():
-        v[zlib.crc32(w.encode()) % dims] += 1
-    n = np.linalg.norm(v)
-    return v / n if n else v
+    grams = docs.select(key, F.col(text).alias("__t"), ngrams(X.words(F.col(text))).alias("__g"))
+    return grams.mapInPandas(rank, f"`{key}` {docs.schema[key].dataType.simpleString()}, rank int, phrase string, score double")
 
 
-def mmr(text: str, phrases: list[str], top_n: int, candidates: int, diversity: float) -> list[dict]:
+def mmr(text: str, phrases: list[str], top_n: int, candidates: int, diversity: float, model=None) -> list[dict]:
     if not phrases:
         return []
-    own = _bag(text)
-    vectors = np.array([_bag(p) for p in phrases])
+    vectors = np.asarray((model or HashedBags()).encode([text, *phrases]), float)
+    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors /= np.where(sizes > 0, sizes, 1)
+    own, vectors = vectors[0], vectors[1:]
     likeness = vectors @ own
     first = sorted(range(len(phrases)), key=lambda i: (-likeness[i], phrases[i]))[:candidates]
     chosen = [first[0]]

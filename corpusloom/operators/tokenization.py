@@ -60,8 +60,9 @@ def strip_ids(ids: Column, gone: tuple[int, ...] = (SPECIALS["[CLS]"], SPECIALS[
 def train_wordpiece(counts: DataFrame, vocab_size: int, min_frequency: int = 2, limit_alphabet: int = 1000, lowercase: bool = False):
     """A WordPiece tokenizer from (token, n) counts.
 
-    The corpus is reduced to word counts by Spark; what reaches the driver are the words at ``min_frequency`` or above, at
-    most ``MAX_TRAIN_WORDS`` of them by count: training needs frequencies, not text.
+    The corpus is reduced to word counts by Spark; what reaches the trainer are all words at ``min_frequency`` or above, a
+    partition at a time, each as often as it occurs, in lines of bounded length. Training in one process holds these words:
+    a larger ``min_frequency`` makes them fewer.
     """
     from tokenizers import Tokenizer, decoders, models, normalizers, pre_tokenizers, processors, trainers
 
@@ -70,20 +71,24 @@ def train_wordpiece(counts: DataFrame, vocab_size: int, min_frequency: int = 2,
     t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
     t.decoder = decoders.WordPiece(prefix="##")
     trainer = trainers.WordPieceTrainer(vocab_size=vocab_size, min_frequency=min_frequency, limit_alphabet=limit_alphabet, special_tokens=list(SPECIALS), continuing_subword_prefix="##", show_progress=False)
-    top = counts.where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "token").limit(MAX_TRAIN_WORDS).toPandas()
+    frequent = counts.where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "token")
 
-    def lines() -> Iterator[str]:  # repeated by the logarithm-free count up to a bound that keeps ratios of frequent words
-        scale = max(1, int(top["n"].max() // MAX_REPEATS)) if len(top) else 1
-        for word, n in zip(top["token"], top["n"], strict=True):
-            yield " ".join([word] * max(min_frequency, int(n) // scale))
+    def lines() -> Iterator[str]:
+        for row in frequent.toLocalIterator():
+            whole, rest = divmod(row["n"], LINE)
+            if whole:
+                line = " ".join([row["token"]] * LINE)
+                for _ in range(whole):
+                    yield line
+            yield " ".join([row["token"]] * rest)
 
     t.train_from_iterator(lines(), trainer)
     t.post_processor = processors.TemplateProcessing(single="[CLS] $A [SEP]", special_tokens=[("[CLS]", SPECIALS["[CLS]"]), ("[SEP]", SPECIALS["[SEP]"])])
     return t
 
 
-#: Bounds of what training takes: words, and repeats of the most frequent one.
-MAX_TRAIN_WORDS, MAX_REPEATS = 2_000_000, 2000
+#: Words in a line for the trainer.
+LINE = 1000
 
 
 def encoder(tokenizer_json: str, specials: bool = True):

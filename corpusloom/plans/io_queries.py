@@ -13,7 +13,7 @@ from corpusloom.operators import packing, profile, sampling, search, sentences,
 from corpusloom.plans import sql as S
 from corpusloom.plans.registry import query, table
 from corpusloom.plans.text_queries import WITH, books, sents
-from corpusloom.plans.token_queries import _E, _V, LIMIT, encoded, packed_sql, turns, vocab
+from corpusloom.plans.token_queries import _E, _Q, _V, LIMIT, best_sql, encoded, packed_sql, query_vectors, turns, vocab
 from corpusloom.schema import EXAMPLE
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import filters
@@ -39,11 +39,11 @@ def jsonl_parts(spark, d) -> DataFrame:
     return readers.jsonl(spark, path, glob="*.json.gz").select("book_id", "position", "text")
 
 
-@query("k01_sentences_by_book", "SELECT conv_id::VARCHAR AS book_id, count(*) AS n, max(turn) AS last FROM conversations WHERE text <> '' AND conv_id < 40 GROUP BY 1")
+@query("k01_sentences_by_book", "SELECT conv_id::VARCHAR AS book_id, count(*) AS n, max(turn) AS last FROM conversations WHERE text <> '' GROUP BY 1")
 def sentences_by_book(spark, d) -> DataFrame:
     """A folder for each book; the book comes back from the path."""
     path = scratch(spark, "books")
-    writers.sentences_by_book(turns(spark, d).where("book_id < 40").select("book_id", "position", "text"), path)
+    writers.sentences_by_book(turns(spark, d).select("book_id", "position", "text"), path)
     rows = spark.read.schema("book_id string, position int, text string").json(path).where("text <> ''")
     return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"))
 
@@ -116,14 +116,13 @@ def removed_scripts_log(spark, d) -> DataFrame:
     return spark.read.schema("filename string, title string, author string, genre string").option("header", "true").option("sep", "\t").csv(path)
 
 
-@query("e05_index_append", f"SELECT vec_id, round({S.cosine('embedding', 'q')}, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) ORDER BY {S.cosine('embedding', 'q')} DESC, vec_id LIMIT 10")
+@query("e05_index_append", f"SELECT vec_id, query_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, {S.cosine('embedding', 'q')} AS s FROM embeddings, {_Q}) {best_sql('s', 10, 'vec_id')}")
 def index_append(spark, d) -> DataFrame:
     """An index written in two steps and searched."""
     path, v = scratch(spark, "index"), table(spark, d, "embeddings")
     writers.embedding_index(v.where("vec_id % 2 = 0"), path)
     writers.embedding_index(v.where("vec_id % 2 <> 0"), path, append=True)
-    q = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("query_vector"))
-    return search.top_k(spark.read.parquet(path), q, 10, key="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    return search.top_k(spark.read.parquet(path), query_vectors(spark, d), 10, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("s01_ingest_files", f"SELECT count(DISTINCT source) AS folders, count(*) AS lines, sum({S.n_matches('t', '[.!?]')})::BIGINT AS approx_sentences FROM (SELECT source, unnest(list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', {S.NL}, 'g'), {S.NL}), lambda x: {S.trim('x')}), lambda x: x <> '')) AS t FROM documents)")

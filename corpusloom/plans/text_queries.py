@@ -151,9 +151,9 @@ def text_md5(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("x27_rolling_hash", f"SELECT doc_id, {S.rolling('left(text, 40)')} AS h, CASE WHEN {S.rolling('doc_id::VARCHAR')} < 95 THEN 'train' ELSE 'val' END AS split FROM documents")
+@query("x27_rolling_hash", f"SELECT doc_id, {S.rolling('text')} AS h, CASE WHEN {S.rolling('doc_id::VARCHAR')} < 95 THEN 'train' ELSE 'val' END AS split FROM documents")
 def rolling_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.rolling_hash(F.left("text", F.lit(40))).alias("h"), sampling.split(F.col("doc_id").cast("string")).alias("split"))
+    return table(spark, d, "documents").select("doc_id", X.rolling_hash(F.col("text")).alias("h"), sampling.split(F.col("doc_id").cast("string")).alias("split"))
 
 
 @query("x28_word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({S.words()}) AS word FROM documents) GROUP BY 1")
@@ -335,11 +335,11 @@ def json_lines(spark, d):
     return parsed.where("_corrupt_record is null and coalesce(text, '') <> ''").drop("_corrupt_record")
 
 
-@query("x01_decode_bytes", "SELECT doc_id, left(text, 200) AS text FROM documents")
+@query("x01_decode_bytes", "SELECT doc_id, text FROM documents")
 def decode_bytes(spark, d):
     """Texts to bytes, every third as Latin-1 where that can hold it, and back by detection or the named charset."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    t = F.left("text", F.lit(200))
+    t = F.col("text")
     latin = (F.col("doc_id") % 3 == 0) & ~t.rlike(r"[^\x00-\xFF]") & t.rlike(r"[\xC0-\xFF][a-z ]")
     content = F.when(latin, F.encode(t, "ISO-8859-1")).otherwise(F.encode(t, "UTF-8"))
     return table(spark, d, "documents").select("doc_id", X.to_utf8(content, F.when(latin, "iso-8859-1")).alias("text"))

@@ -162,9 +162,9 @@ def subsequence(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.size(w) >= 6, tokenization.subsequence_at(w, part)).otherwise(-1).alias("first_at"))
 
 
-@query("d13_join_pieces", "SELECT doc_id, replace(list_aggregate(list_concat([w[1]], list_transform(w[2:], lambda x: '##' || x)), 'string_agg', ''), '##', '') AS word FROM (SELECT doc_id, regexp_extract_all(left(text, 30), '[A-Za-z]{1,3}') AS w FROM documents) WHERE len(w) >= 1")
+@query("d13_join_pieces", "SELECT doc_id, replace(list_aggregate(list_concat([w[1]], list_transform(w[2:], lambda x: '##' || x)), 'string_agg', ''), '##', '') AS word FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{1,3}') AS w FROM documents) WHERE len(w) >= 1")
 def join_pieces(spark, d):
-    w = F.regexp_extract_all(F.left("text", F.lit(30)), F.lit("[A-Za-z]{1,3}"), F.lit(0))
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{1,3}"), F.lit(0))
     rows = table(spark, d, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 1)
     pieces = F.transform("w", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("##"), x)))
     return rows.select("doc_id", tokenization.join_pieces(pieces).alias("word"))
@@ -314,9 +314,9 @@ def clean_predictions(spark, d):
     return turns(spark, d).select("book_id", "position", F.array_join(masking.clean_predictions(tokens), " ").alias("predictions")).where("predictions <> ''")
 
 
-@query("x34_usable_variations", "SELECT doc_id, array_to_string(list_filter([q || 'x', q, '', q || q || q || q, left(q, 8)], lambda v: v <> '' AND v <> q AND abs(length(v) - length(q)) / greatest(length(q), 1) < 0.8)[1:3], '|') AS variations FROM (SELECT doc_id, left(text, 20) AS q FROM documents)")
+@query("x34_usable_variations", "SELECT doc_id, array_to_string(list_filter([q || 'x', q, '', q || q || q || q, left(q, 8)], lambda v: v <> '' AND v <> q AND abs(length(v) - length(q)) / greatest(length(q), 1) < 0.8)[1:3], '|') AS variations FROM (SELECT doc_id, text AS q FROM documents)")
 def usable_variations(spark, d):
-    q = F.left("text", F.lit(20))
+    q = F.col("text")
     v = masking.usable_variations(q, F.array(F.concat(q, F.lit("x")), q, F.lit(""), F.concat(q, q, q, q), F.left(q, F.lit(8))))
     return table(spark, d, "documents").select("doc_id", F.array_join(v, "|").alias("variations"))
 
@@ -342,12 +342,16 @@ def best_epoch(spark, d):
 
 # --- vectors and search
 
-_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_Q = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
 
 
-def first_vector(spark, d) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    return v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("query_vector"))
+def query_vectors(spark, d) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def best_sql(score: str, k: int, key: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, {key}) <= {k}"
 
 
 @query("e03_unit_vectors", f"SELECT vec_id, round(sqrt({S.dot('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (CASE WHEN n < 1e-8 THEN 1.0 ELSE n END)) AS u FROM (SELECT *, sqrt({S.dot('embedding', 'embedding')}) AS n FROM embeddings))")
@@ -356,15 +360,15 @@ def unit_vectors(spark, d):
     return u.select("vec_id", F.round(search.norm(F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
-@query("e04_cosine_top_k", f"SELECT vec_id, label, round({S.cosine('embedding', 'q')}, 6) AS score FROM embeddings, {_Q} ORDER BY {S.cosine('embedding', 'q')} DESC, vec_id LIMIT 20")
+@query("e04_cosine_top_k", f"SELECT query_id, vec_id, label, round(s, 6) AS score FROM (SELECT query_id, vec_id, label, {S.cosine('embedding', 'q')} AS s FROM embeddings, {_Q}) {best_sql('s', 20, 'vec_id')}")
 def cosine_top_k(spark, d):
-    top = search.top_k(table(spark, d, "embeddings"), first_vector(spark, d), 20, key="vec_id")
-    return top.select("vec_id", "label", F.round("score", 6).alias("score"))
+    top = search.top_k(table(spark, d, "embeddings"), query_vectors(spark, d), 20, key="vec_id")
+    return top.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("e06_pooled_mean", "SELECT i, round(avg(x), 6) AS mean, max(x) AS most FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE label = 3) GROUP BY 1")
+@query("e06_pooled_mean", "SELECT i, round(avg(x), 6) AS mean, max(x) AS most FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1")
 def pooled(spark, d):
-    v = table(spark, d, "embeddings").where("label = 3")
+    v = table(spark, d, "embeddings")
     both = search.pooled(v, "embedding").crossJoin(search.pooled(v, "embedding", "max").withColumnRenamed("embedding", "m"))
     rows = both.select(F.posexplode(F.arrays_zip("embedding", "m")).alias("i", "z"))
     return rows.select("i", F.round("z.embedding", 6).alias("mean"), F.col("z.m").alias("most"))
@@ -377,12 +381,12 @@ def pooled_concat(spark, d):
     return c.select((F.size("embedding") > 0).alias("some"), F.size("embedding").alias("dims"))
 
 
-@query("e07_blended_search", f"WITH m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE label = 3) GROUP BY 1)), b AS (SELECT list_transform(list_zip(q, m), lambda z: 0.5 * z[1]::DOUBLE + 0.5 * z[2]) AS q FROM {_Q}, m) SELECT vec_id, round({S.cosine('embedding', 'q')}, 6) AS score FROM embeddings, b ORDER BY {S.cosine('embedding', 'q')} DESC, vec_id LIMIT 20")
+@query("e07_blended_search", f"WITH m AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1)), b AS (SELECT query_id, list_transform(list_zip(q, m), lambda z: 0.5 * z[1]::DOUBLE + 0.5 * z[2]) AS q FROM {_Q}, m) SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, {S.cosine('embedding', 'q')} AS s FROM embeddings, b) {best_sql('s', 20, 'vec_id')}")
 def blended_search(spark, d):
     v = table(spark, d, "embeddings")
-    mean = search.pooled(v.where("label = 3"), "embedding").withColumnRenamed("embedding", "m")
-    q = first_vector(spark, d).crossJoin(mean).select(search.blend(F.col("query_vector"), F.col("m"), 0.5).alias("query_vector"))
-    return search.top_k(v, q, 20, key="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    mean = search.pooled(v, "embedding").withColumnRenamed("embedding", "m")
+    q = query_vectors(spark, d).crossJoin(F.broadcast(mean)).select("query_id", search.blend(F.col("query_vector"), F.col("m"), 0.5).alias("query_vector"))  # one row
+    return search.top_k(v, q, 20, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("e02_mean_pool", "SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, 6) AS first, round((embedding[2]::DOUBLE + embedding[4]::DOUBLE) / 2, 6) AS second FROM embeddings")
@@ -399,13 +403,13 @@ def softmax_top_k(spark, d):
     return rows.select("vec_id", "p.index", F.round("p.probability", 6).alias("probability"))
 
 
-@query("g03_compare_embeddings", f"SELECT r, count(*) AS n FROM (SELECT CASE WHEN {S.cosine('embedding', 'q')} > 0.99 THEN 'same' WHEN {S.cosine('embedding', 'q')} > 0.8 THEN 'close' ELSE 'different' END AS r FROM embeddings, {_Q}) GROUP BY 1")
+@query("g03_compare_embeddings", f"SELECT query_id, r, count(*) AS n FROM (SELECT query_id, CASE WHEN {S.cosine('embedding', 'q')} > 0.99 THEN 'same' WHEN {S.cosine('embedding', 'q')} > 0.8 THEN 'close' ELSE 'different' END AS r FROM embeddings, {_Q}) GROUP BY 1, 2")
 def compare_embeddings(spark, d):
-    v = table(spark, d, "embeddings").crossJoin(F.broadcast(first_vector(spark, d)))
-    return v.groupBy(search.compare_embeddings(F.col("embedding"), F.col("query_vector")).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    v = table(spark, d, "embeddings").crossJoin(search.checked_queries(query_vectors(spark, d)))
+    return v.groupBy("query_id", search.compare_embeddings(F.col("embedding"), F.col("query_vector")).alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ASKED = "(SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id % 20 = 0)"
+_ASKED = "(SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0)"
 _BM25 = f"""asked AS (SELECT query_id, unnest(list_distinct({S.words('query')})) AS token FROM {_ASKED}), w AS (SELECT doc_id, {S.words()} AS w FROM documents), shape AS (SELECT count(*) AS n, avg(len(w)) AS mean_size FROM w),
 tf AS (SELECT doc_id, size, token, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS token FROM w) WHERE token IN (SELECT token FROM asked) GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))) AS score FROM tf JOIN df USING (token) JOIN asked USING (token), shape GROUP BY 1, 2)"""
@@ -413,7 +417,7 @@ bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 
 def asked(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark").where("item_id % 20 = 0")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def bm25_scores(spark, d) -> DataFrame:
@@ -427,42 +431,43 @@ def bm25(spark, d):
     return scored.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")
 
 
-@query("h07_keyword_search", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, left(text, 300) AS content FROM (SELECT doc_id, max(score) AS score FROM bm GROUP BY 1) JOIN documents USING (doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+@query("h07_keyword_search", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, left(text, 300) AS content FROM (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 10) JOIN documents USING (doc_id)")
 def keyword_search(spark, d):
-    best = bm25_scores(spark, d).groupBy("doc_id").agg(F.max("score").alias("score"))
-    top = best.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(10)
-    return table(spark, d, "documents").join(F.broadcast(top), "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.left("text", F.lit(300)).alias("content"))
+    top = search.best_of_each(bm25_scores(spark, d).withColumn("score", F.round("score", 6)), 10, "doc_id")
+    return table(spark, d, "documents").join(F.broadcast(top), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.left("text", F.lit(300)).alias("content"))
 
 
-@query("h02_merge_candidates", "SELECT doc_id AS id, max(quality::DOUBLE + toxic * 2) AS score, arg_min(k, seq) AS source FROM (SELECT doc_id, quality, toxic, 'main' AS k, 0 AS seq FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, quality, 3, 'variation', 1 FROM labels WHERE doc_id % 3 = 0) GROUP BY 1")
+@query("h02_merge_candidates", "SELECT doc_id AS id, max(quality::DOUBLE + toxic * 2) AS score, arg_min(k, seq) AS source FROM (SELECT doc_id, quality, toxic, 'main' AS k, 0 AS seq FROM labels UNION ALL SELECT doc_id, quality, 3 * (doc_id % 2), 'variation', 1 FROM labels) GROUP BY 1")
 def merge_candidates(spark, d):
     lab = table(spark, d, "labels")
     score = lambda t: (F.col("quality").cast("double") + t * 2).alias("score")
-    main = lab.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit(0).alias("seq"), score(F.col("toxic")), F.lit("main").alias("source"))
-    more = lab.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(1).alias("seq"), score(F.lit(3)), F.lit("variation").alias("source"))
+    main = lab.select(F.col("doc_id").alias("id"), F.lit(0).alias("seq"), score(F.col("toxic")), F.lit("main").alias("source"))
+    more = lab.select(F.col("doc_id").alias("id"), F.lit(1).alias("seq"), score(3 * (F.col("doc_id") % 2)), F.lit("variation").alias("source"))
     return search.merge_candidates(main.unionByName(more))
 
 
-_HY = f"""h AS (SELECT doc_id AS id, max(score) AS raw FROM bm GROUP BY 1), c AS (SELECT id, raw, {S.cosine('embedding', 'q')} AS sem FROM h JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings), {_Q})"""
+_HY = f"""qv AS (SELECT query_id, embedding AS q FROM (SELECT DISTINCT query_id FROM asked) JOIN embeddings ON vec_id = query_id % (SELECT count(*) FROM embeddings)),
+c AS (SELECT query_id, doc_id AS id, score AS raw, {S.cosine('embedding', 'q')} AS sem, max(score) OVER (PARTITION BY query_id) AS m FROM bm JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) JOIN qv USING (query_id))"""
 
 
 def hybrid_candidates(spark, d) -> DataFrame:
     v = table(spark, d, "embeddings")
     n = F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))
-    best = bm25_scores(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("keyword_raw_score"))
-    c = best.crossJoin(n).withColumn("vec_id", F.col("id") % F.col("n")).join(v, "vec_id").crossJoin(F.broadcast(first_vector(spark, d)))
-    return c.select("id", "keyword_raw_score", search.cosine(F.col("embedding"), F.col("query_vector")).alias("semantic_score"))
+    best = bm25_scores(spark, d).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("keyword_raw_score"))
+    of_query = asked(spark, d).crossJoin(n).withColumn("vec_id", F.col("query_id") % F.col("n")).join(v, "vec_id").select("query_id", F.col("embedding").alias("query_vector"))
+    c = best.crossJoin(n).withColumn("vec_id", F.col("id") % F.col("n")).join(v, "vec_id").join(search.checked_queries(of_query), "query_id")
+    return c.select("query_id", "id", "keyword_raw_score", search.cosine(F.col("embedding"), F.col("query_vector")).alias("semantic_score"))
 
 
-@query("h05_hybrid_search", f"WITH {_BM25}, {_HY} SELECT id, round(sem, 6) AS semantic_score, round(raw / m, 6) AS keyword_score, round(0.6 * sem + 0.4 * raw / m, 6) AS score FROM c, (SELECT max(raw) AS m FROM c) ORDER BY 0.6 * sem + 0.4 * raw / m DESC, id LIMIT 10")
+@query("h05_hybrid_search", f"WITH {_BM25}, {_HY} SELECT query_id, id, round(sem, 6) AS semantic_score, round(raw / m, 6) AS keyword_score, round(0.6 * sem + 0.4 * raw / m, 6) AS score FROM c {best_sql('0.6 * sem + 0.4 * raw / m', 10, 'id')}")
 def hybrid_search(spark, d):
     top = search.hybrid(hybrid_candidates(spark, d), 10)
-    return top.select("id", *[F.round(c, 6).alias(c) for c in ("semantic_score", "keyword_score", "score")])
+    return top.select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("semantic_score", "keyword_score", "score")])
 
 
-@query("h06_hybrid_settings", f"WITH {_BM25}, {_HY} SELECT id, round(0.9 * sem + 0.1 * raw / m, 6) AS score FROM c, (SELECT max(raw) AS m FROM c) ORDER BY 0.9 * sem + 0.1 * raw / m DESC, id LIMIT 5")
+@query("h06_hybrid_settings", f"WITH {_BM25}, {_HY} SELECT query_id, id, round(0.9 * sem + 0.1 * raw / m, 6) AS score FROM c {best_sql('0.9 * sem + 0.1 * raw / m', 5, 'id')}")
 def hybrid_settings(spark, d):
-    return search.hybrid(hybrid_candidates(spark, d), 5, 0.9, 0.1).select("id", F.round("score", 6).alias("score"))
+    return search.hybrid(hybrid_candidates(spark, d), 5, 0.9, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("t07_page", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 20")
@@ -470,9 +475,9 @@ def page(spark, d):
     return search.page(table(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 10, 20)
 
 
-@query("g01_ngrams", f"SELECT doc_id, count(DISTINCT g) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM (SELECT doc_id, {S.words()}[1:60] AS w FROM documents)) GROUP BY 1")
+@query("g01_ngrams", f"SELECT doc_id, count(DISTINCT g) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM (SELECT doc_id, {S.words()} AS w FROM documents)) GROUP BY 1")
 def ngrams(spark, d):
-    w = F.slice(X.words(F.col("text")), 1, 60)
+    w = X.words(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(search.ngrams(w)).alias("n")).where("n > 0")
 
 

@@ -30,15 +30,17 @@ def raw_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt
 
     A file that can't be unpacked gives a row with an error instead of failing the job.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lit(False)
-    for s in suffixes:
-        wanted |= name.endswith(s)
-    files = files.select("path", name.alias("filename"), "content").where(wanted)
-    plain = files.where(~F.col("filename").endswith(".gz")).withColumn("error", F.lit(None).cast("string"))
-    packed = files.where(F.col("filename").endswith(".gz")).withColumn("g", _gunzip("content")).select("path", "filename", "g.content", "g.error")
-    return plain.unionByName(packed)
+
+    def listed(own: list[str]) -> DataFrame | None:  # the glob keeps other files from being read
+        if not own:
+            return None
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*{{{','.join(own)}}}").load(path)
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+
+    plain, packed = (listed([s for s in suffixes if s.endswith(".gz") == gz]) for gz in (False, True))
+    plain = plain.withColumn("error", F.lit(None).cast("string")) if plain else None
+    packed = packed.withColumn("g", _gunzip("content")).select("path", "filename", "g.content", "g.error") if packed else None
+    return plain.unionByName(packed) if plain and packed else plain or packed
 
 
 def flat_text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -143,11 +144,11 @@ def test_wordpiece_equals_the_library(spark, tiny):
 
 def test_search(spark):
     index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0])], "id long, embedding array<float>")
-    query = spark.createDataFrame([([1.0, 0.0],)], "query_vector array<float>")
-    got = search.top_k(index, query, 3).collect()
-    assert [r["id"] for r in got] == [1, 4, 2] and abs(got[2]["score"] - 0.5**0.5) < 1e-6
-    c = spark.createDataFrame([("a", 0.5, 3.0), ("b", 0.1, 6.0)], "id string, semantic_score double, keyword_raw_score double")
-    assert {r["id"]: round(r["score"], 6) for r in search.hybrid(c, 5).collect()} == {"a": 0.5, "b": 0.46}
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id long, query_vector array<float>")
+    got = {(r["query_id"], r["id"]): round(r["score"], 6) for r in search.top_k(index, queries, 3).collect()}
+    assert got == {(7, 1): 1.0, (7, 4): 1.0, (7, 2): round(0.5**0.5, 6), (8, 2): round(0.5**0.5, 6), (8, 1): 0.0, (8, 3): 0.0}
+    c = spark.createDataFrame([(1, "a", 0.5, 3.0), (1, "b", 0.1, 6.0), (2, "a", 0.5, 0.0)], "query_id long, id string, semantic_score double, keyword_raw_score double")
+    assert {(r["query_id"], r["id"]): round(r["score"], 6) for r in search.hybrid(c, 5).collect()} == {(1, "a"): 0.5, (1, "b"): 0.46, (2, "a"): 0.3}
     docs = spark.createDataFrame([(1, "кот спит"), (2, "кот кот ест"), (3, "пёс")], "id long, text string")
     hits = search.bm25(docs, spark.createDataFrame([(7, "кот")], "query_id long, query string")).collect()
     assert {r["id"] for r in hits} == {1, 2} and max(hits, key=lambda r: r["score"])["id"] == 2
@@ -155,7 +156,16 @@ def test_search(spark):
     assert {(r["a"], r["b"]) for r in search.semantic_duplicates(near).collect()} == {(0, 2), (0, 4), (2, 4), (1, 3), (1, 5), (3, 5)}
 
 
+def test_a_query_set_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_QUERIES", 1)
+    with pytest.raises(ValueError):
+        search.checked_queries(spark.range(2))
+
+
 def test_keyphrases_are_diverse(spark):
+    docs = spark.createDataFrame([(1, "кот спит дома. кот ест"), (2, ""), (3, None)], "id long, text string")
+    rows = search.keyphrases(docs, "id", top_n=2).collect()
+    assert [(r["id"], r["rank"]) for r in rows] == [(1, 1), (1, 2)] and len({r["phrase"] for r in rows}) == 2
     got = search.mmr("кот кот спит дом", ["кот", "кот кот", "дом", "спит"], 3, 10, 0.5)
     assert got[0]["phrase"] in ("кот", "кот кот") and len({g["phrase"] for g in got}) == 3
 
