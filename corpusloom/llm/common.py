@@ -5,6 +5,7 @@ Nulls: a null text counts as the empty text everywhere in this subpackage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,9 +38,12 @@ def text_keys(name: str = "text") -> list[Column]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one on a single
+    machine (tests), and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="corpusloom-")
         shared_folder.own = base
     return base.rstrip("/")

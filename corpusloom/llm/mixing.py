@@ -188,12 +188,13 @@ def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Rows of ``docs`` with all their columns, each as often as the mix takes it; nulls and ties as above.
 
-    Documents without a word are left out.
+    Documents without a word, which no target counts, stay as they are, once.
     """
     _, cells = plan(docs, weights, share, most)
     needed = ("doc_id", "source", "text")
     out = _with_copies(_keyed(boxed(docs, *needed)), cells.select("__key", "__size", "each", "top", "edge"))
-    out = out.where("__copies > 0 and __size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    out = out.withColumn("__copies", F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies")))
+    out = out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return unboxed(out, docs.columns, needed)
 
 

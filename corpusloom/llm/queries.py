@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from corpusloom.llm import chat, editprint, lm, mixing, packing, pii, rules, simhash, substrings, toxicity
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_quality_rules": rules.query,
     "op9_substrings": substrings.query,
     "op10_toxicity": toxicity.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {"op6_chat": chat.SQL, "op9_substrings": substrings.SQL}
