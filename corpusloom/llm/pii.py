@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, boxed, column, keep, small_batches, small_side, text_keys, unboxed
+from corpusloom.llm.common import arrow_map, bits_for, boxed, column, keep, key_filter, may_hold, small_batches, small_side, text_keys, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -193,8 +193,13 @@ def entity_texts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text", *text_keys()).where(F.col("text").rlike("[0-9@]")), make, "k1 long, k2 long, entity string, ctx long").distinct()
 
 
-def text_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, k2, top, term, at: array of (start, end)) for every row of ``docs`` whose text is among ``texts`` (k1, k2, top: long)."""
+def text_terms(docs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, top, term, at: array of (start, end)) for every row of ``docs`` whose text is among ``texts`` (k1, k2, top: long).
+
+    Terms that are surely not among ``wanted`` (term; kept) are left out.
+    """
+    bits = key_filter(wanted.select(F.xxhash64("term").alias("h")), "h", bits_for(wanted.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of bounded size
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -203,6 +208,8 @@ def text_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
                 at: dict[str, list[dict]] = {}
                 for term, start, end in terms(text, base_spans(text)):
                     at.setdefault(term, []).append({"start": start, "end": end})
+                hashes = np.array([xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42) for term in at], np.uint64)
+                at = {term: at[term] for term, may in zip(list(at), may_hold(shared.value, hashes).tolist(), strict=True) if may}
                 rows += [(k1, k2, top, term, places) for term, places in at.items()]
             if not rows:
                 return None
@@ -230,8 +237,8 @@ def pairs(docs: DataFrame, entities: DataFrame, counted: DataFrame, n: int, supp
     def can(ce: str) -> Column:
         return F.log2(n / F.col("ct")) >= generalise * F.log2(n / F.col(ce)) - 1e-9
 
-    rare = counted.join(F.broadcast(texts.agg(F.max("top").alias("top"))), can("top")).select("term", "ct")  # one row: the largest c(e)
-    own = text_terms(docs, texts).join(small_side(rare), "term").where(can("top")).drop("top").distinct()
+    rare = keep(counted.join(F.broadcast(texts.agg(F.max("top").alias("top"))), can("top")).select("term", "ct"), "rare-terms")  # one row: the largest c(e)
+    own = text_terms(docs, texts, rare).join(small_side(rare), "term").where(can("top")).drop("top").distinct()
     return keep(own.join(small_side(known), ["k1", "k2"]).where(can("ce")), "pairs")
 
 
@@ -270,7 +277,7 @@ def added_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GEN
     told = keep(disclosures(shared, n, support, generalise), "disclosures")
     hit = shared.join(small_side(told), ["entity", "term"]).select("k1", "k2", "term", "at", "disclosure", own_kind.alias("kind"))
     of_kinds = keep(kind_disclosures(counted, held, n, support, generalise), "kind-disclosures")
-    some = text_terms(docs, kinds).join(small_side(of_kinds), "term").where(F.col("top").bitwiseAND(F.col("bit")) > 0)
+    some = text_terms(docs, kinds, of_kinds).join(small_side(of_kinds), "term").where(F.col("top").bitwiseAND(F.col("bit")) > 0)
     hit = hit.unionByName(some.select("k1", "k2", "term", "at", "disclosure", "kind"))
     most = F.max(F.struct("disclosure", "kind"))
     gone = hit.groupBy("k1", "k2", "term").agg(F.first("at").alias("at"), most.alias("m"))
