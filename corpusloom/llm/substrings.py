@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import bits_for, column, keep, key_filter, may_hold, small_batches, text_keys, words_of
+from corpusloom.llm.common import bits_for, column, keep, key_filter, may_hold, small_batches, small_side, text_keys, words_of
 
 K = 13
 M = 5
@@ -244,9 +244,9 @@ def repeated_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     runs = found.withColumn("run", run).groupBy(*lane, "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     # a run of occurrences whose sources are consecutive too is cut where a path ends
     starts = paths(hits.where("a is not null").select("a", "b", "source_doc", "source_pos")).where("source_pos = path")
-    starts = starts.groupBy("source_doc").agg(F.array_sort(F.collect_list("path")).alias("starts"))  # of one document
+    starts = keep(starts.groupBy("source_doc").agg(F.array_sort(F.collect_list("path")).alias("starts")), "path-starts")  # of one document
     cuts = F.filter(F.transform("starts", lambda x: x - F.col("shift")), lambda x: (x > F.col("low")) & (x <= F.col("high")))
-    pieces = runs.join(starts, "source_doc").withColumn("cuts", cuts)
+    pieces = runs.join(small_side(starts), "source_doc").withColumn("cuts", cuts)
     pieces = pieces.select("k1", "source_doc", "shift", "high", F.concat(F.array("low"), "cuts").alias("lows"))
     pieces = pieces.select("k1", "source_doc", "shift", F.explode(F.arrays_zip(F.col("lows").alias("low"), F.concat(F.transform(F.slice("lows", F.lit(2), F.size("lows")), lambda x: x - 1), F.array("high")).alias("high"))).alias("p"))
     return pieces.select("k1", F.col("p.low").alias("start"), (F.col("p.high") + K).alias("end"), "source_doc", (F.col("p.low") + F.col("shift")).alias("source_start"))
