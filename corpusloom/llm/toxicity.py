@@ -39,7 +39,7 @@ STEPS = 1000
 GAIN = 1000.0
 #: Of a word's count in its text, and words without a say in every average.
 DAMP = 0.5
-NEUTRAL = 80
+NEUTRAL = 200
 #: Pull of every used embedding towards zero.
 DECAY = 1e-5
 THRESHOLD = 0.3
