@@ -162,12 +162,15 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     chosen = best.select("b.doc_id", "b.k1", "b.k2").distinct()
     k1, k2 = text_keys()
     keyed = boxed(docs, "doc_id", "text").withColumns({"__k1": k1, "__k2": k2})
-    kept = keyed.join(
-        chosen.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__a"), F.col("k2").alias("__b")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b")),
-        "left_semi",
-    )
-    many = classes.join(chosen, ["k1", "k2"], "left_semi").groupBy("doc_id", "k1", "k2").count().where("count > 1")
+    best_keys = chosen.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__a"), F.col("k2").alias("__b"))
+
+    def is_chosen(doc_id, k1, k2):
+        return doc_id.eqNullSafe(F.col("__id")) & (F.col(k1) == F.col("__a")) & (F.col(k2) == F.col("__b"))
+
+    kept = keyed.join(best_keys, is_chosen(F.col("doc_id").cast("long"), "__k1", "__k2"), "left_semi")
+    # copies of one text differ in doc_id, so they are counted, and then joined, apart
+    repeated = classes.groupBy("doc_id", "k1", "k2").count().where("count > 1")
+    many = repeated.join(best_keys, is_chosen(F.col("doc_id"), "k1", "k2"), "left_semi")
     if not many.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__k1", "__k2"])
     return unboxed(kept, docs.columns, ("doc_id", "text"))

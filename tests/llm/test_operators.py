@@ -100,6 +100,15 @@ def test_simhash_odd(spark, odd, empty):
     assert sorted(r["doc_id"] for r in kept.collect() if r["text"] and r["text"].startswith("alpha")) == [1]
 
 
+def test_deduplicate_keeps_one_of_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [(5, long)] * 3 + [(9, long), (None, long)] + [(None, other)] * 2 + [(7, third), (8, third)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, long), (None, other), (7, third)], key=str)
+
+
 def test_simhash_on_documents(spark, tiny):
     df = docs_of(spark, tiny)
     rows = [(r["doc_id"], r["text"], None) for r in df.collect()]
