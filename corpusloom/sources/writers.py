@@ -27,11 +27,17 @@ def json_summary(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
 
-def csv(rows: DataFrame, path: str, order: list | None = None, separator: str = ",", decimals: int | None = 4) -> None:
-    """A report as one ordered CSV file; doubles with ``decimals`` places."""
+def csv(rows: DataFrame, path: str, order: list | None = None, separator: str = ",", decimals: int | None = 4, single: bool | None = None) -> None:
+    """A report as CSV; doubles with ``decimals`` places. With an ``order`` it is one ordered file, for reports of a few rows;
+    without one each task writes its own rows, since a row for each sentence or book may be many. ``single`` overrides that;
+    the rows are computed before they meet in one task."""
     if decimals is not None:
         rows = rows.withColumns({f.name: F.format_string(f"%.{decimals}f", f.name) for f in rows.schema.fields if f.dataType.simpleString() == "double"})
-    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", "true").option("sep", separator).csv(path)
+    if order:
+        rows = rows.orderBy(*order).coalesce(1) if single is not False else rows.orderBy(*order)
+    elif single:
+        rows = rows.repartition(1)
+    rows.write.mode("overwrite").option("header", "true").option("sep", separator).csv(path)
 
 
 def examples(rows: DataFrame, path: str, parts: int = 100, by_book: bool = False) -> None:

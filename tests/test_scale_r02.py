@@ -7,6 +7,7 @@ import numpy as np
 
 from corpusloom.operators import pairs, search
 from corpusloom.plans.queries import QUERIES, SQL
+from corpusloom.sources import readers, writers
 
 
 def test_any_number_of_queries_is_searched(spark, monkeypatch):
@@ -45,3 +46,12 @@ def test_rolling_hash_of_null_and_empty_texts(spark, tmp_path):
     duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     expected = sorted(duck.execute(SQL["x27_rolling_hash"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["x27_rolling_hash"](spark, str(tmp_path)).collect()) == expected
+
+
+def test_long_reports_are_written_by_all_tasks(spark, tmp_path):
+    rows = spark.range(100, numPartitions=4)
+    writers.csv(rows, str(tmp_path / "parts"))
+    writers.csv(rows, str(tmp_path / "one"), single=True)
+    assert (len(list((tmp_path / "parts").glob("*.csv"))), len(list((tmp_path / "one").glob("*.csv")))) == (4, 1)
+    for name in ("parts", "one"):
+        assert sorted(r["id"] for r in readers.metrics(spark, str(tmp_path / name), "id long").collect()) == list(range(100))
