@@ -4,9 +4,12 @@ import math
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from corpusloom.operators import pairs, search
+from corpusloom.functions import text as X
+from corpusloom.operators import pairs, search, tokenization
 from corpusloom.plans.queries import QUERIES, SQL
+from corpusloom.schema import SPECIALS
 from corpusloom.sources import readers, writers
 
 
@@ -55,3 +58,31 @@ def test_long_reports_are_written_by_all_tasks(spark, tmp_path):
     assert (len(list((tmp_path / "parts").glob("*.csv"))), len(list((tmp_path / "one").glob("*.csv")))) == (4, 1)
     for name in ("parts", "one"):
         assert sorted(r["id"] for r in readers.metrics(spark, str(tmp_path / name), "id long").collect()) == list(range(100))
+
+
+def _library_vocab(counts, size, lowercase):
+    """The trainer of ``tokenizers``, fed every occurrence."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, trainers
+
+    t = Tokenizer(models.WordPiece(unk_token="[UNK]"))
+    t.normalizer = normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=False, strip_accents=False, lowercase=lowercase)
+    t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    t.train_from_iterator((" ".join([r["token"]] * r["n"]) for r in counts.where("n >= 2").collect()), trainers.WordPieceTrainer(vocab_size=size, min_frequency=2, limit_alphabet=1000, special_tokens=list(SPECIALS), show_progress=False))
+    return set(t.get_vocab())
+
+
+def test_wordpiece_training_is_the_librarys(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    counts = tokenization.word_counts(docs, F.split(X.utrim(F.col("text")), r"\s+"))
+    tokens = tokenization.train_wordpiece_vocab(counts, 3000, lowercase=True)
+    for size, ties in ((3000, 20), (1200, 20), (50, 0)):  # the library breaks ties in another way on each run
+        own = set(tokenization.wordpiece.first_tokens(tokens, size, len(SPECIALS)))
+        library = _library_vocab(counts, size, True)
+        assert len(own) == len(library) and len(own - library) <= ties
+
+
+def test_wordpiece_reads_no_occurrence_twice(spark):
+    """A billion occurrences of one word: fed one by one they would never end."""
+    counts = spark.createDataFrame([("aaaa", 10**9), ("ab-ab", 5), ("once", 1)], "token string, n long")
+    t = tokenization.train_wordpiece(counts, 30)
+    assert t.encode("aaaa", add_special_tokens=False).tokens == ["aaaa"] and t.token_to_id("o") is None and t.token_to_id("ab") is not None
