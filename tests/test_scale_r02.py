@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import pairs, search, tokenization
+from corpusloom.operators import pairs, sampling, search, tokenization
 from corpusloom.plans.queries import QUERIES, SQL
 from corpusloom.schema import SPECIALS
 from corpusloom.sources import readers, writers
@@ -86,3 +86,34 @@ def test_wordpiece_reads_no_occurrence_twice(spark):
     counts = spark.createDataFrame([("aaaa", 10**9), ("ab-ab", 5), ("once", 1)], "token string, n long")
     t = tokenization.train_wordpiece(counts, 30)
     assert t.encode("aaaa", add_special_tokens=False).tokens == ["aaaa"] and t.token_to_id("o") is None and t.token_to_id("ab") is not None
+
+
+def test_ngrams_are_counted_without_their_strings(spark, monkeypatch):
+    monkeypatch.setattr(search, "NGRAM_TEXTS", 3)
+    texts = ["a b a b a", "", None, "one", "x y", "a a a a", "b a b a b a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    listed = {r["doc_id"]: max(0, r["n"]) for r in docs.select("doc_id", F.size(search.ngrams(X.words(F.col("text")))).alias("n")).collect()}
+    assert {r["doc_id"]: r["n"] for r in search.ngram_counts(docs, "doc_id").collect()} == listed
+
+
+def test_overlap_needs_one_aggregation(spark):
+    rows = [(1, "aa"), (1, "aa"), (1, "bb"), (2, "cc"), (None, "dd")]
+    a, b = spark.createDataFrame(rows, "k long, phrase string"), spark.createDataFrame([*rows[1:], (1, "zz")], "k long, phrase string")
+    got = search.phrase_overlap(a, b, "k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, [*spark.createDataFrame([(1, 2), (2, 1), (None, 1)], "k long, common long").collect()]))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_words_join_no_frequent_ones(spark):
+    rows = [(1, 0, "the cat the dog"), (1, 1, "the owl owl"), (2, 0, "the cat"), (2, 1, "the 12"), (2, 2, "34"), (3, 5, "elk"), (4, 1, "elk")]
+    df = spark.createDataFrame(rows, "book_id long, position int, text string")
+    for below in (1, 2, 3, 4, 6):
+        counts = {}
+        for _, _, t in rows:
+            for w in t.split():
+                counts[w] = counts.get(w, 0) + 1
+        words = lambda t: [w for w in t.split() if w.isalpha()]
+        expected = {(b, p): round(1 + (sum(counts[w] < below for w in words(t)) / len(words(t)) if words(t) else 0), 6) for b, p, t in rows}
+        assert {(r["book_id"], r["position"]): r["curriculum_weight"] for r in sampling.rare_word_weights(df, below).collect()} == expected
+    plan = sampling.rare_word_weights(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # that of the sentences with their counts
