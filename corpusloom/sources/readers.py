@@ -5,24 +5,24 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.schema import SENTENCE, SPECIALS
 
 
-@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
-def _gunzip(contents: pd.Series) -> pd.DataFrame:
-    out = []
-    for c in contents:
-        try:
-            out.append((gzip.decompress(c), None))
-        except Exception as e:
-            out.append((None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(out, columns=["content", "error"])
+def _gunzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, filename, content, error), a batch for each file: no more than one is held unpacked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            try:
+                content, error = gzip.decompress(row.column(2)[0].as_py()), None
+            except Exception as e:
+                content, error = None, f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["path", "filename", "content", "error"])
 
 
 def raw_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", ".txt.gz"), recursive: bool = True) -> DataFrame:
@@ -39,7 +39,7 @@ def raw_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt
 
     plain, packed = (listed([s for s in suffixes if s.endswith(".gz") == gz]) for gz in (False, True))
     plain = plain.withColumn("error", F.lit(None).cast("string")) if plain else None
-    packed = packed.withColumn("g", _gunzip("content")).select("path", "filename", "g.content", "g.error") if packed else None
+    packed = packed.mapInArrow(_gunzipped, "path string, filename string, content binary, error string") if packed else None
     return plain.unionByName(packed) if plain and packed else plain or packed
 
 
