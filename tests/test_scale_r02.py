@@ -2,12 +2,14 @@
 
 import gzip
 import math
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusloom import regexes as R
 from corpusloom.functions import text as X
 from corpusloom.operators import pairs, sampling, search, tokenization
 from corpusloom.plans.queries import QUERIES, SQL
@@ -126,3 +128,37 @@ def test_files_are_unpacked_one_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(["p"] * 3), pa.array(["f"] * 3), pa.array(packed, pa.binary())], ["path", "filename", "content"])
     out = [b.to_pylist() for b in readers._gunzipped(iter([batch]))]
     assert [len(rows) for rows in out] == [1, 1, 1] and [rows[0]["content"] for rows in out] == [b"one", None, b"two"] and out[1][0]["error"]
+
+
+def _plain_clean(text):
+    """``clean`` by the patterns that its SQL has, as RE2 has them."""
+    lines = lambda s: ~(
+        ((F.octet_length(s) >= 20) & (X.count(s, r"[\p{Nd}\p{P}]") / F.greatest(F.length(s), F.lit(1)) > 0.5))
+        | X.matches(s, "|".join(f"(?:{p})" for p in R.BIBLIOGRAPHIC))
+        | ((F.octet_length(s) >= 10) & (X.count(s, r"\p{L}") / F.greatest(F.length(s), F.lit(1)) < 0.3))
+    )
+    t = X.replace(X.replace(X.replace(text, R.CONTROL), R.HYPHEN_BREAK, "$1$2"), R.METADATA_LINE)
+    t = X.replace(X.replace(t, R.NUMBER_LINE), R.CONTENTS_NUMBER, "$1")
+    t = F.array_join(F.filter(F.split(t, "\n", -1), lines), "\n")
+    t = X.replace(X.replace(X.replace(X.replace(t, R.SHAPES), R.RULER_LINE), R.BLANKS, " "), R.SPACE_BEFORE_MARK, "$1")
+    return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
+
+
+def test_quick_cleaning_is_the_plain_one(spark):
+    parts = ["а", "Ё", "АБ", "Я.", "я-", "Ѵ.", "І.1", "12", "3.", ".5", "٣", "a", "word", " ", "  ", "\t", "\t ", "\n", "\r", "\x0b", "\f", "\x00", "\x1f", "\x7f", "\x85", "\xa0", " ", "　", ".", ",", "!", "—", "…", "-", "-\n", "==========", "▲", "✗", "←", "☃", "😀", "ISBN", " DOI ", "УДК", "1234567890", "«»()"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(parts, size=rng.integers(0, 40))) for _ in range(4000)]
+    texts += [None, "", *(f"xyz{chr(c)}{chr(c)}" for c in range(0x3100) if c != 0)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    differ = df.select("text", X.clean(F.col("text")).alias("own"), _plain_clean(F.col("text")).alias("plain")).where("not (own <=> plain)")
+    assert differ.collect() == []
+
+
+def test_cleaning_takes_no_square_of_a_run(spark):
+    """Runs of line ends that no number or mark follows, of letters without a hyphen: tried from each place they take billions of steps."""
+    began = time.perf_counter()
+    n = 100_000 + F.col("id").cast("int")
+    text = F.concat(F.lit("a-\nb"), F.repeat(F.lit("\x0c\n"), n), F.repeat(F.lit("x"), n))
+    got = spark.range(1).select(X.clean(text).alias("t")).first()["t"]
+    assert got == "ab" + "\n" * 99_999 + "\n" + "x" * 100_000 or len(got) == 2 + 200_000 + 100_000
+    assert time.perf_counter() - began < 20
