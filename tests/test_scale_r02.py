@@ -162,3 +162,35 @@ def test_cleaning_takes_no_square_of_a_run(spark):
     got = spark.range(1).select(X.clean(text).alias("t")).first()["t"]
     assert got == "ab" + "\n" * 99_999 + "\n" + "x" * 100_000 or len(got) == 2 + 200_000 + 100_000
     assert time.perf_counter() - began < 20
+
+
+def test_texts_are_cut_once_for_a_keyword_search(spark, tiny, monkeypatch):
+    """Each document is scored inside its row: no word of a text meets a shuffle, and texts are read for one written table."""
+    tables = []
+    docs, asked = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet").selectExpr("item_id as query_id", "text as query")
+
+    def keep(df):
+        tables.append(df.localCheckpoint())
+        return tables[-1]
+
+    scored = search.bm25(docs, asked, "doc_id", keep=keep)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert len(tables) == 1 and "Exchange" not in plan and "FileScan" not in plan
+
+
+def test_keyword_scores_of_repeated_keys_and_odd_texts(spark, tmp_path, monkeypatch):
+    """As the SQL has it: rows of one key and size are one text; null texts count as documents without a size."""
+    monkeypatch.setattr(search, "SCORES", 2)
+    docs = [(1, "the cat-cat The"), (1, "the dog cat"), (1, "cat"), (2, None), (3, ""), (4, "DOG dog cat"), (5, "other 12"), (6, "cat the")]
+    asked = [(0, "the cat"), (20, None), (40, "dog dog unheard"), (60, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [float(i + 1), 1.0, -float(i)]) for i in range(4)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    rounded = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    for name in ("h01_bm25", "h05_hybrid_search", "h06_hybrid_settings"):
+        got = duck.execute(SQL[name])
+        names = [x[0] for x in got.description]
+        assert rounded(QUERIES[name](spark, str(tmp_path)).select(names).collect()) == rounded(got.fetchall())
