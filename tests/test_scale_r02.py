@@ -194,3 +194,14 @@ def test_keyword_scores_of_repeated_keys_and_odd_texts(spark, tmp_path, monkeypa
         got = duck.execute(SQL[name])
         names = [x[0] for x in got.description]
         assert rounded(QUERIES[name](spark, str(tmp_path)).select(names).collect()) == rounded(got.fetchall())
+
+
+def test_coverage_reads_the_texts_once(spark, tmp_path):
+    """Distinct words of the distinct tokens are those of the texts, whatever stands between them."""
+    texts = ["Один-два  three\tfour-\nfive ΣΑΣ İstanbul", "x y   z-Z,z", None, "", "Ёлка3ёлка x-", " the\x0bthe\x85the "]
+    spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["d02_vocab_sweep"](spark, str(tmp_path))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    expected = {r["w"] for r in docs.select(F.explode(X.words(F.col("text"))).alias("w")).collect()}
+    assert {r["words"] for r in df.collect()} == {len(expected)}
+    assert "documents.parquet" not in df._jdf.queryExecution().toString()
