@@ -196,6 +196,11 @@ def test_keyword_scores_of_repeated_keys_and_odd_texts(spark, tmp_path, monkeypa
         assert rounded(QUERIES[name](spark, str(tmp_path)).select(names).collect()) == rounded(got.fetchall())
 
 
+def test_words_are_encoded_after_they_are_distinct(spark, tiny):
+    plan = QUERIES["d10_multi_piece_words"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+
+
 def test_coverage_reads_the_texts_once(spark, tmp_path):
     """Distinct words of the distinct tokens are those of the texts, whatever stands between them."""
     texts = ["Один-два  three\tfour-\nfive ΣΑΣ İstanbul", "x y   z-Z,z", None, "", "Ёлка3ёлка x-", " the\x0bthe\x85the "]
